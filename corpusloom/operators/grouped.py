@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi join where null keys match null keys; the right keys are dropped.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join where null keys match null keys.
 
-    Without keys the right side is one row; it is read as a scalar subquery, so
-    no cross product is planned.
+    The keys are packed into one never-null struct, so this stays a plain equi
+    join that keeps and reuses hash partitioning. Without keys the right side is
+    one row; it is read as a scalar subquery, so no cross product is planned.
     """
     if not keys:
-        names = right.columns
-        one = right.select(F.struct(*names).alias("__row")).scalar()
-        return left.withColumns({name: one.getField(name) for name in names})
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+        one = right.select(F.struct(*right.columns).alias("__row")).scalar()
+        return left.withColumns({name: one.getField(name) for name in right.columns})
+    others = [c for c in right.columns if c not in set(keys)]
+    packed = right.select(F.struct(*keys).alias("__k"), *others)
+    return left.withColumn("__k", F.struct(*keys)).join(packed, "__k", how).drop("__k")
 
 
 def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -32,7 +32,7 @@ def attach(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame
     holds a large share of the rows is never gathered in one task: the group
     table is broadcast when it turns out small, and skew-split otherwise.
     """
-    return null_safe_join(df, df.groupBy(*keys).agg(*aggregates), keys, "inner")
+    return null_safe_join(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
 def add_count(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:

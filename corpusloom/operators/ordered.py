@@ -39,13 +39,18 @@ def prefix_sum(
     ``bucket`` must agree with ``order``: a row of a smaller bucket comes before
     every row of a larger one.
     """
-    keyed = df.withColumn("__v", F.col(value) if isinstance(value, str) else value)
-    totals = keyed.groupBy(*group, bucket).agg(F.sum("__v").alias("__v"))
-    offsets = _offsets(totals, group, bucket, ["__v"])
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keyed = df.withColumns({
+        "__v": F.col(value) if isinstance(value, str) else value,
+        "__k": F.struct(*group, bucket),
+    })
+    totals = keyed.groupBy("__k").agg(F.sum("__v").alias("__v"))
+    offsets = _offsets(totals.select("__k.*", "__v"), group, bucket, ["__v"])
+    # Window and join share the key, so the rows are shuffled once.
+    inside = Window.partitionBy("__k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = keyed.withColumn("__in", F.sum("__v").over(inside)).drop("__v")
-    joined = null_safe_join(summed, offsets.select(*group, bucket, "__v_before"), [*group, bucket], "inner")
-    return joined.withColumn(out, F.col("__in") + F.col("__v_before")).drop("__in", "__v_before")
+    before = offsets.select(F.struct(*group, bucket).alias("__k"), "__v_before")
+    joined = summed.join(before, "__k")
+    return joined.withColumn(out, F.col("__in") + F.col("__v_before")).drop("__in", "__v_before", "__k")
 
 
 def id_block(column: str, width: int = 65536) -> Column:
@@ -88,13 +93,13 @@ def running_total(
     shuffle, so ties cost nothing.
     """
     merged = df.groupBy(*group, value).agg(*[F.sum(m).alias(m) for m in measures])
-    bucketed = _bucketed(merged, value, group, bins)
-    totals = bucketed.groupBy(*group, "__b").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = _offsets(totals, group, "__b", measures)
-    inside = Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    bucketed = _bucketed(merged, value, group, bins).withColumn("__k", F.struct(*group, "__b"))
+    totals = bucketed.groupBy("__k").agg(*[F.sum(m).alias(m) for m in measures])
+    offsets = _offsets(totals.select("__k.*", *measures), group, "__b", measures)
+    inside = Window.partitionBy("__k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     summed = bucketed.withColumns({f"{m}_in": F.sum(m).over(inside) for m in measures})
-    keep = [*group, "__b", *[f"{m}_{s}" for m in measures for s in ("before", "all")]]
-    joined = null_safe_join(summed, offsets.select(*keep), [*group, "__b"], "inner")
+    keep = [f"{m}_{s}" for m in measures for s in ("before", "all")]
+    joined = summed.join(offsets.select(F.struct(*group, "__b").alias("__k"), *keep), "__k")
     columns = [F.col(c) for c in (*group, value)]
     for m in measures:
         columns += [F.col(m), (F.col(f"{m}_in") + F.col(f"{m}_before")).alias(f"{m}_cum"), F.col(f"{m}_all")]
@@ -107,14 +112,14 @@ def value_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = (), d
     below = F.col("__one_cum") - F.col("__one")
     above = F.col("__one_all") - F.col("__one_cum")
     ranks = counted.select(*group, value, ((above if descending else below) + 1).alias(out))
-    return df.join(ranks, [*group, value])
+    return null_safe_join(df, ranks, [*group, value])
 
 
 def cume_dist(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) -> DataFrame:
     """Share of the group's rows with a value up to this one."""
     counted = running_total(df.withColumn("__one", F.lit(1)), value, ["__one"], group)
     shares = counted.select(*group, value, (F.col("__one_cum") / F.col("__one_all")).alias(out))
-    return df.join(shares, [*group, value])
+    return null_safe_join(df, shares, [*group, value])
 
 
 def exact_quantiles(
@@ -137,7 +142,7 @@ def exact_quantiles(
     hit = F.exists(F.array(*wanted), lambda r: (r > low) & (r <= high))
     targets = offsets.filter(hit).select(*group, "__b", "__n_before", "__n_all")
 
-    near = null_safe_join(bucketed.select(*group, value, "__b"), targets, [*group, "__b"], "inner")
+    near = null_safe_join(bucketed.select(*group, value, "__b"), targets, [*group, "__b"])
     counted = near.groupBy(*group, "__b", value, "__n_before", "__n_all").agg(F.count("*").alias("__c"))
     inside = Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("__cum", F.col("__n_before") + F.sum("__c").over(inside))
