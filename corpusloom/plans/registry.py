@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("sources", "verbs")
+MODULES = ("sources", "verbs", "text")
 
 
 def load_all() -> None:

@@ -27,7 +27,7 @@ def _cell(value):
     if isinstance(value, int):
         return ("i", value)
     if isinstance(value, float):
-        return ("f", "nan" if math.isnan(value) else value + 0.0)
+        return ("f", "nan" if math.isnan(value) else value)
     if value is None:
         return ("n", "")
     return (type(value).__name__, str(value))
