@@ -146,7 +146,7 @@ def coherence(beta: DataFrame, counts: DataFrame, n: int = 10) -> DataFrame:
     """
     top = _likeliest(beta, n).select("topic", F.col("term").alias("word"), "place")
     present = counts.select("doc_id", "word").join(top, "word")
-    masks = present.groupBy("topic", "doc_id").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("place") - 1)).alias("mask"))
+    masks = present.groupBy("topic", "doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place") - 1)).alias("mask"))
     patterns = masks.groupBy("topic", "mask").agg(F.count("*").alias("docs"))
 
     def has(place: int) -> Column:
@@ -269,3 +269,16 @@ def topic_tree(correlation: DataFrame, cuts: Sequence[float]) -> DataFrame:
         return pd.DataFrame({"cut": cut, "topic": list(node), "node": list(node.values())})
 
     return levels.groupBy("cut").applyInPandas(components, "cut DOUBLE, topic INT, node INT")
+
+
+def tree_nodes(nodes: DataFrame, beta: DataFrame, gamma: DataFrame, n: int = 7) -> DataFrame:
+    """Per tree node its topics, corpus share and n likeliest words over its topics."""
+    share = gamma.groupBy("topic").agg(F.avg("gamma").alias("p"))
+    members = nodes.join(share, "topic")
+    sizes = members.groupBy("cut", "node").agg(F.count("*").alias("n_topics"), F.round(F.sum("p"), 8).alias("proportion"))
+    mixed = beta.join(members, "topic").groupBy("cut", "node", "term").agg(F.round(F.sum(F.col("beta") * F.col("p")), 10).alias("v"))
+    w = Window.partitionBy("cut", "node").orderBy(F.desc("v"), "term")
+    top = mixed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "term")))
+    terms = top.groupBy("cut", "node").agg(F.concat_ws(", ", F.transform(ordered, lambda s: s["term"])).alias("terms"))
+    return sizes.join(terms, ["cut", "node"])
