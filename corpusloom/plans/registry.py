@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("sources", "verbs", "text", "stats", "topics")
+MODULES = ("sources", "verbs", "text", "stats", "topics", "classify", "charts")
 
 
 def load_all() -> None:
