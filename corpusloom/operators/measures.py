@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.scalars import ratio
-from corpusloom.operators.tokens import CONTEXT_TAGS, FORMAL_TAGS, explode_words, tag_tokens, term_counts
+from corpusloom.operators.tokens import CONTEXT_TAGS, FORMAL_TAGS, explode_words, tag_tokens
 
 COUNTS = ("n_sent", "n_words", "n_chars", "n_syll", "n_complex")
 
@@ -63,12 +63,9 @@ def readability(df: DataFrame, keys: Sequence[str], text: str = "text", unique:
     return counted.select(*keys, *COUNTS, *[c.alias(n) for n, c in readability_scores().items()])
 
 
-def formality(tagged: DataFrame, keys: Sequence[str], n: str | None = None) -> DataFrame:
-    """F measure per group; null when one of the two word classes is missing.
-
-    ``n`` names a count column when the input is already collapsed per word.
-    """
-    weight = F.col(n) if n else F.lit(1)
+def formality(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """F measure per group; null when one of the two word classes is missing."""
+    weight = F.lit(1)
     totals = tagged.groupBy(*keys).agg(
         F.sum(F.when(F.col("upos").isin(*FORMAL_TAGS), weight)).alias("f"),
         F.sum(F.when(F.col("upos").isin(*CONTEXT_TAGS), weight)).alias("c"),
@@ -79,9 +76,9 @@ def formality(tagged: DataFrame, keys: Sequence[str], n: str | None = None) -> D
 
 
 def document_formality(docs: DataFrame, model: dict[str, DataFrame], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Formality straight from text. Words are counted first, then tagged once per distinct word of a text."""
-    counts = term_counts(explode_words(docs.select(*keys, "text")), keys)
-    return formality(tag_tokens(counts, model, token="word"), keys, n="n")
+    """Formality straight from text: tokens are tagged where they are, only two sums per text are shuffled."""
+    words = explode_words(docs.select(*keys, "text"))
+    return formality(tag_tokens(words, model, token="word"), keys)
 
 
 def lengths(df: DataFrame, text: str = "text") -> DataFrame:

@@ -10,13 +10,15 @@ one place.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.grouped import attach, null_safe_join
 
-BINS = 256
+SIDE = 16
+BINS = SIDE * SIDE
 
 
 def _offsets(totals: DataFrame, group: Sequence[str], bucket: str, names: Sequence[str]) -> DataFrame:
@@ -74,17 +76,28 @@ def hash_rank(df: DataFrame, key: str, group: Sequence[str], seed: int, out: str
     return prefix_sum(hashed, F.lit(1), ["__h", key], "__bucket", group, out).drop("__h", "__bucket")
 
 
-def _bucketed(df: DataFrame, value: str, group: Sequence[str], bins: int) -> DataFrame:
-    """Adds ``__b``: how many of the group's approximate quantiles lie below the value."""
-    points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    cut = F.percentile_approx(value, points, F.lit(bins * 20)).alias("__cuts")
-    cutoff = attach(df, group, cut)
-    below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
-    return cutoff.withColumn("__b", below).drop("__cuts")
+def _with_cuts(df: DataFrame, value: str, group: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """Adds ``__cuts``: approximate quantiles of the group at the given shares (a mergeable sketch)."""
+    points = F.array(*[F.lit(s) for s in shares])
+    return attach(df, group, F.percentile_approx(value, points, F.lit(10000)).alias("__cuts"))
+
+
+def _below(value: str, indexes: Sequence[Column | int]) -> Column:
+    """How many of the chosen cuts lie below the value; plain comparisons stay in generated code."""
+    hits = [(F.get("__cuts", F.lit(i) if isinstance(i, int) else i) < F.col(value)).cast("int") for i in indexes]
+    return reduce(lambda a, b: a + b, hits)
+
+
+def _bucketed(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Adds ``__b``, one of 256 buckets of about equal size in value order, found in two steps of 16."""
+    cut = _with_cuts(df, value, group, [i / BINS for i in range(1, BINS)])
+    coarse = cut.withColumn("__c", _below(value, [SIDE * i - 1 for i in range(1, SIDE)]))
+    fine = _below(value, [F.col("__c") * SIDE + j for j in range(SIDE - 1)])
+    return coarse.withColumn("__b", F.col("__c") * SIDE + fine).drop("__cuts", "__c")
 
 
 def running_total(
-    df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str] = (), bins: int = BINS
+    df: DataFrame, value: str, measures: Sequence[str], group: Sequence[str] = ()
 ) -> DataFrame:
     """Per distinct value of each group: measure sums, their running sums, their totals.
 
@@ -93,7 +106,7 @@ def running_total(
     shuffle, so ties cost nothing.
     """
     merged = df.groupBy(*group, value).agg(*[F.sum(m).alias(m) for m in measures])
-    bucketed = _bucketed(merged, value, group, bins).withColumn("__k", F.struct(*group, "__b"))
+    bucketed = _bucketed(merged, value, group).withColumn("__k", F.struct(*group, "__b"))
     totals = bucketed.groupBy("__k").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = _offsets(totals.select("__k.*", *measures), group, "__b", measures)
     inside = Window.partitionBy("__k").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -123,16 +136,19 @@ def cume_dist(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) ->
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = (), bins: int = BINS
+    df: DataFrame, value: str, probs: dict[str, float], group: Sequence[str] = (), margin: float = 1 / 256
 ) -> DataFrame:
     """Exact interpolated (type 7) quantiles, one column per entry of ``probs``.
 
-    Approximate quantiles only choose bucket borders. Bucket counts then tell
-    which buckets hold the wanted ranks, and only rows of those few buckets are
+    Approximate quantiles just below and above each wanted share cut the values
+    into narrow and wide buckets. Exact bucket counts then tell which buckets
+    hold the wanted ranks, normally the narrow ones, and only their rows are
     shuffled and sorted.
     """
     present = df.filter(F.col(value).isNotNull()).select(*group, value)
-    bucketed = _bucketed(present, value, group, bins).withColumn("__n", F.lit(1))
+    shares = sorted({min(max(p + side, 0.0), 1.0) for p in probs.values() for side in (-margin, margin)})
+    cut = _with_cuts(present, value, group, shares)
+    bucketed = cut.withColumn("__b", _below(value, range(len(shares)))).drop("__cuts").withColumn("__n", F.lit(1))
     totals = bucketed.groupBy(*group, "__b").agg(F.sum("__n").alias("__n"))
     offsets = _offsets(totals, group, "__b", ["__n"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.grouped import share
-from corpusloom.operators.tokens import explode_words, term_counts
+from corpusloom.operators.tokens import explode_words
 
 POLARITY = "pos|neg"
 
@@ -22,12 +22,11 @@ AMPLIFIER_WEIGHT, ADVERSATIVE_WEIGHT = 0.8, 0.25
 def lexicon_counts(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, sentiment, n): each token counts once per sentiment it carries.
 
-    Tokens are counted per word before the lexicon join, so its fan-out works
-    on distinct words.
+    The lexicon is small enough to be broadcast, so tokens meet it before any
+    shuffle and only (keys, sentiment) sums travel.
     """
-    counts = term_counts(explode_words(docs.select(*keys, "text")), keys)
-    joined = counts.join(lexicon, "word")
-    return joined.groupBy(*keys, "sentiment").agg(F.sum("n").alias("n"))
+    hits = explode_words(docs.select(*keys, "text")).join(lexicon, "word")
+    return hits.groupBy(*keys, "sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sentiment_shares(docs: DataFrame, lexicon: DataFrame, keys: Sequence[str], polarity: bool) -> DataFrame:
@@ -62,7 +61,8 @@ def shifted_score(
 
     Only words found in a lexicon are shuffled: the 5-before / 2-after window is
     a range over word positions, so the neutral words between them are not
-    needed. The word count is taken inside the sentence row.
+    needed. The word count is taken inside the sentence row. ``sentences`` is
+    read twice and should be a stored table.
     """
     counted = sentences.select(*keys, X.words(text).alias("__w")).withColumn("word_count", F.size("__w"))
     words = counted.select(*keys, "word_count", F.posexplode("__w").alias("pos", "word"))

@@ -103,6 +103,11 @@ def min_frequency(counts: DataFrame, more_than: int, word: str = "word", n: str
     return totalled.filter(F.col("__all") > more_than).drop("__all")
 
 
+def vocabulary_totals(counts: DataFrame, word: str = "word", n: str = "n") -> DataFrame:
+    """(word, total) of a count table."""
+    return counts.groupBy(word).agg(F.sum(n).alias("total"))
+
+
 def term_counts(tokens: DataFrame, keys: Sequence[str], word: str = "word") -> DataFrame:
     """(keys, word, n): the sparse document-term matrix as a long table."""
     return tokens.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("n"))

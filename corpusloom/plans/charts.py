@@ -118,6 +118,6 @@ def viz_heatmap(spark, folder):
 )
 def viz_heatmap_distance(spark, folder):
     """Distance tiles in both directions."""
-    pairs = stats.distances(materialize(profiles(spark, folder), "profiles"), "source", FEATURES)
+    pairs = stats.distances(profiles(spark, folder), "source", FEATURES)
     pairs = pairs.withColumn("distance", F.round("distance", 6))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))

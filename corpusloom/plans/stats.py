@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def style(spark: SparkSession, folder: str) -> DataFrame:
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Standardized feature means per source."""
-    means = grouped.mean_numeric(style(spark, folder), ["source"], exclude=["doc_id"])
+    means = materialize(grouped.mean_numeric(style(spark, folder), ["source"], exclude=["doc_id"]), "profiles")
     return stats.standardize(means, FEATURES)
 
 
@@ -88,10 +91,12 @@ def stat_lmer(spark, folder):
     rows = materialize(joined, "style-party")
     xs = {"party_B": (F.col("party") == "B").cast("double"), "document": F.col("doc_id")}
     models = {"readability": "Flesch_Kincaid", "formality": "F_measure", "sentence_length": "mean_sent_length", "doc_length": "n_words"}
-    result = None
-    for name, y in models.items():
-        table = stats.mixed_model_table(spark, name, stats.random_intercept(rows, y, xs, "source"))
-        result = table if result is None else result.unionByName(table)
+
+    def fit(name: str) -> DataFrame:
+        return stats.mixed_model_table(spark, name, stats.random_intercept(rows, models[name], xs, "source"))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        result = reduce(DataFrame.unionByName, pool.map(fit, models))
     finite = (F.col("std_error") > 0) & (F.col("group_variance") >= 0) & (F.col("residual_variance") > 0) & ~F.isnan("estimate")
     return result.select("model", "term", "n", "n_groups", finite.alias("finite"))
 
@@ -144,7 +149,7 @@ def stat_scale(spark, folder):
     ),
 )
 def stat_dist(spark, folder):
-    pairs = stats.distances(materialize(profiles(spark, folder), "profiles"), "source", FEATURES)
+    pairs = stats.distances(profiles(spark, folder), "source", FEATURES)
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
@@ -164,7 +169,7 @@ SEED = 20240
 )
 def ml_kmeans(spark, folder):
     """k = 2 and 4 with 25 restarts on the source profiles; within + between = total."""
-    points = materialize(profiles(spark, folder), "profiles")
+    points = profiles(spark, folder)
     tables = [
         stats.within_ss(stats.kmeans(points, FEATURES, k, restarts=25, seed=SEED), FEATURES).select(F.lit(k).alias("k"), "*")
         for k in (2, 4)
@@ -184,7 +189,7 @@ def ml_kmeans(spark, folder):
     ),
 )
 def ml_kmeans_wss(spark, folder):
-    points = materialize(profiles(spark, folder), "profiles")
+    points = profiles(spark, folder)
     curve = stats.elbow(points, FEATURES, range(1, 11), SEED)
     return curve.select(
         "k", "n_points", F.round("total_ss", 5).alias("total_ss"),
@@ -202,7 +207,7 @@ def ml_kmeans_wss(spark, folder):
 )
 def ml_pca_2d(spark, folder):
     """Checks on the first two component scores: centred, uncorrelated, in order of variance."""
-    plane = stats.principal_plane(materialize(profiles(spark, folder), "profiles"), FEATURES)
+    plane = stats.principal_plane(profiles(spark, folder), FEATURES)
     total = sum((F.var_pop(c) for c in FEATURES), F.lit(0.0))
     zero = lambda c: F.abs(F.round(c, 6))
     return plane.agg(

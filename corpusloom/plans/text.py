@@ -10,6 +10,7 @@ from corpusloom.operators import contrast, grouped, measures, sentiment, tokens
 from corpusloom.plans.registry import (
     PIECE, READABILITY, SENTENCE, STOPPED, TAGGER, block, query, tag_sql, text_literal, with_blocks,
 )
+from corpusloom.session import materialize
 from corpusloom.sources import catalog
 from corpusloom.sources.lexicons import DOMAIN_STOP_WORDS, EXCLUDED_SENTIMENT_WORDS, lexicon
 
@@ -25,10 +26,11 @@ def noun_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, lang, word, n) of the topic vocabulary: nouns, no stop words, used more than 3 times."""
     docs = catalog.documents(spark, folder).select("doc_id", "source", "lang", "text")
     counts = tokens.term_counts(tokens.explode_words(docs), ["doc_id", "source", "lang"])
-    tagged = tokens.tag_tokens(counts, tagger(spark), token="word")
-    nouns = tagged.filter(F.col("upos").isin(*tokens.NOUN_TAGS)).drop("lemma", "upos")
-    kept = tokens.drop_stop_words(nouns, lexicon(spark, "stop_words"), DOMAIN_STOP_WORDS)
-    return tokens.min_frequency(kept, 3)
+    # Words are tagged and filtered once per distinct word, then the cells are matched with what is left.
+    frequent = tokens.vocabulary_totals(counts).filter(F.col("total") > 3)
+    kept = tokens.drop_stop_words(frequent, lexicon(spark, "stop_words"), DOMAIN_STOP_WORDS)
+    nouns = tokens.tag_tokens(kept, tagger(spark), token="word").filter(F.col("upos").isin(*tokens.NOUN_TAGS))
+    return counts.join(nouns.select("word"), "word")
 
 
 block(
@@ -387,7 +389,7 @@ block(
     ),
 )
 def sentiment_valence_shift(spark, folder):
-    sentences = corpus_sentences(spark, folder)
+    sentences = materialize(corpus_sentences(spark, folder).select("sentence_id", "sentence"), "sentences")
     scored = sentiment.shifted_score(sentences, lexicon(spark, "valences"), lexicon(spark, "shifters"), ["sentence_id"])
     return scored.withColumn("sentiment", F.round("sentiment", DIGITS))
 
@@ -396,10 +398,14 @@ def sentiment_valence_shift(spark, folder):
 
 
 def party_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(party, word, n) without stop characters and stop words."""
+    """(party, word, n) without stop characters and stop words.
+
+    Stored once: the contrasts read it several times, and it is far smaller
+    than the corpus.
+    """
     docs = catalog.labelled(spark, folder).select("party", "text")
     counts = tokens.term_counts(tokens.explode_words(docs), ["party"])
-    return tokens.drop_stop_words(tokens.drop_stop_chars(counts), lexicon(spark, "stop_words"))
+    return materialize(tokens.drop_stop_words(tokens.drop_stop_chars(counts), lexicon(spark, "stop_words")), "party-counts")
 
 
 block(
@@ -463,7 +469,7 @@ def log_ratio_sentiment(spark, folder):
     docs = catalog.labelled(spark, folder).select("party", "text")
     polar = lexicon(spark, "sentiments").filter(F.col("sentiment").rlike(sentiment.POLARITY))
     counts = tokens.term_counts(tokens.explode_words(docs), ["party"]).filter(~F.col("word").isin(*EXCLUDED_SENTIMENT_WORDS))
-    ratios = contrast.log_ratio(counts.join(polar, "word"), "party", "A", "B", more_than=5, keys=["sentiment"])
+    ratios = contrast.log_ratio(materialize(counts.join(polar, "word"), "sentiment-counts"), "party", "A", "B", more_than=5, keys=["sentiment"])
     return contrast.log_ratio_top(ratios, 15, ["sentiment"]).select("sentiment", "word", F.round("logratio", DIGITS).alias("logratio"))
 
 

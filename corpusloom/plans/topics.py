@@ -45,7 +45,8 @@ class OneStep:
         self.k = k
         # The counts feed several branches of one query; store them once.
         self.counts = materialize(noun_counts(spark, folder), "nouns") if counts is None else counts
-        self.weights = topics.group_topics(self.counts, source_topic() if by_source else lang_topic(k), k)
+        weights = topics.group_topics(self.counts, source_topic() if by_source else lang_topic(k), k)
+        self.weights = materialize(weights, "weights")
         self.shares = topics.one_step_shares(self.counts, self.weights, k)
 
     def beta(self) -> DataFrame:
