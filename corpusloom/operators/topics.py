@@ -10,12 +10,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalars import log_factorial, ratio
 from corpusloom.operators.grouped import attach, top_n_ties
 from corpusloom.operators.ordered import running_total
+from corpusloom.session import materialize
 
 SMOOTHING = 0.01
 
@@ -109,19 +112,24 @@ def group_effect(gamma: DataFrame, groups: DataFrame, key: str, base: str, other
 # --- diagnostics ------------------------------------------------------------------------
 
 
-def _average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank share of each term inside its topic, from bucketed running counts."""
+def _average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(topic, value, out): average rank share inside the topic, from bucketed running counts."""
     counted = running_total(df.withColumn("__one", F.lit(1)), value, ["__one"], ["topic"])
     middle = F.col("__one_cum") - (F.col("__one") - 1) / 2.0
-    ranks = counted.select("topic", value, (middle / F.col("__one_all")).alias(out))
-    return df.join(ranks, ["topic", value])
+    return counted.select("topic", value, (middle / F.col("__one_all")).alias(out))
 
 
 def frex(beta: DataFrame, weight: float) -> DataFrame:
-    """Adds ``frex``: harmonic mean of frequency and exclusivity ranks."""
+    """Adds ``frex``: harmonic mean of frequency and exclusivity ranks.
+
+    The scored table (one row per topic and term) is stored, because both
+    ranks and the result read it.
+    """
     shared = attach(beta, ["term"], F.sum("beta").alias("__all"))
     scored = shared.withColumns({"__ex": F.round(F.col("beta") / F.col("__all"), 12), "__fr": F.round("beta", 15)}).drop("__all")
-    ranked = _average_rank(_average_rank(scored, "__ex", "__rx"), "__fr", "__rf")
+    stored = materialize(scored, "frex")
+    ranked = stored.join(_average_ranks(stored, "__ex", "__rx"), ["topic", "__ex"])
+    ranked = ranked.join(_average_ranks(stored, "__fr", "__rf"), ["topic", "__fr"])
     score = 1.0 / (weight / F.col("__rx") + (1.0 - weight) / F.col("__rf"))
     return ranked.withColumn("frex", score).drop("__ex", "__fr", "__rx", "__rf")
 
@@ -242,13 +250,14 @@ def labels(beta: DataFrame, word_share: DataFrame, n: int = 7, weight: float = 0
 
 
 def topic_correlations(shares: DataFrame, topics: int) -> DataFrame:
-    """(a, b, r), a < b: correlation of topic shares over documents, in one pass."""
-    pairs = [(a, b) for a in range(1, topics + 1) for b in range(a + 1, topics + 1)]
-    wide = shares.agg(*[F.corr(f"g{a}", f"g{b}").alias(f"r{a}_{b}") for a, b in pairs])
-    entries = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{a}_{b}").alias("r")) for a, b in pairs
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    """(a, b, r), a < b: correlation of topic shares over documents, in one pass.
+
+    Only the K x K matrix reaches the driver.
+    """
+    vectors = VectorAssembler(inputCols=[f"g{k}" for k in range(1, topics + 1)], outputCol="v").transform(shares)
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    rows = [(a + 1, b + 1, float(matrix[a, b])) for a in range(topics) for b in range(a + 1, topics)]
+    return shares.sparkSession.createDataFrame(rows, "a INT, b INT, r DOUBLE")
 
 
 def topic_tree(correlation: DataFrame, cuts: Sequence[float]) -> DataFrame:
@@ -272,13 +281,23 @@ def topic_tree(correlation: DataFrame, cuts: Sequence[float]) -> DataFrame:
 
 
 def tree_nodes(nodes: DataFrame, beta: DataFrame, gamma: DataFrame, n: int = 7) -> DataFrame:
-    """Per tree node its topics, corpus share and n likeliest words over its topics."""
+    """Per tree node its topics, corpus share and n likeliest words over its topics.
+
+    A node often survives several cuts; its words are found once per distinct
+    set of topics (at most 2 K - 1 of them).
+    """
     share = gamma.groupBy("topic").agg(F.avg("gamma").alias("p"))
-    members = nodes.join(share, "topic")
-    sizes = members.groupBy("cut", "node").agg(F.count("*").alias("n_topics"), F.round(F.sum("p"), 8).alias("proportion"))
-    mixed = beta.join(members, "topic").groupBy("cut", "node", "term").agg(F.round(F.sum(F.col("beta") * F.col("p")), 10).alias("v"))
-    w = Window.partitionBy("cut", "node").orderBy(F.desc("v"), "term")
+    members = nodes.join(share, "topic").groupBy("cut", "node").agg(
+        F.array_sort(F.collect_list(F.struct("topic", "p"))).alias("parts")
+    )
+    keyed = members.withColumn("members", F.concat_ws(",", F.transform("parts", lambda t: t["topic"].cast("string"))))
+    keyed = materialize(keyed, "tree-nodes")
+    distinct = keyed.groupBy("members").agg(F.first("parts").alias("parts")).select("members", F.inline("parts"))
+    mixed = beta.join(distinct, "topic").groupBy("members", "term").agg(F.round(F.sum(F.col("beta") * F.col("p")), 10).alias("v"))
+    w = Window.partitionBy("members").orderBy(F.desc("v"), "term")
     top = mixed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("place", "term")))
-    terms = top.groupBy("cut", "node").agg(F.concat_ws(", ", F.transform(ordered, lambda s: s["term"])).alias("terms"))
-    return sizes.join(terms, ["cut", "node"])
+    terms = top.groupBy("members").agg(F.concat_ws(", ", F.transform(ordered, lambda s: s["term"])).alias("terms"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, t: acc + t["p"])
+    sized = keyed.select("cut", "node", "members", F.size("parts").cast("long").alias("n_topics"), F.round(total, 8).alias("proportion"))
+    return sized.join(terms, "members").drop("members")

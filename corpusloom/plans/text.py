@@ -10,7 +10,7 @@ from corpusloom.operators import contrast, grouped, measures, sentiment, tokens
 from corpusloom.plans.registry import (
     PIECE, READABILITY, SENTENCE, STOPPED, TAGGER, block, query, tag_sql, text_literal, with_blocks,
 )
-from corpusloom.session import materialize
+from corpusloom.session import materialize, scratch_path
 from corpusloom.sources import catalog
 from corpusloom.sources.lexicons import DOMAIN_STOP_WORDS, EXCLUDED_SENTIMENT_WORDS, lexicon
 
@@ -18,8 +18,18 @@ DIGITS = 8
 DOMAIN = ", ".join(f"'{w}'" for w in DOMAIN_STOP_WORDS)
 
 
+_TAGGERS: dict[str, dict[str, str]] = {}
+
+
 def tagger(spark: SparkSession) -> dict[str, DataFrame]:
-    return tokens.train_tagger(lexicon(spark, "tagged_tokens"))
+    """The tag tables, trained once per application and stored in the shared folder."""
+    paths = _TAGGERS.setdefault(spark.sparkContext.applicationId, {})
+    if not paths:
+        for name, frame in tokens.train_tagger(lexicon(spark, "tagged_tokens")).items():
+            path = scratch_path(spark, f"tagger-{name}")
+            frame.coalesce(1).write.parquet(path)
+            paths[name] = path
+    return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 
 def noun_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -380,7 +380,7 @@ def topic_excl_vs_coh(spark, folder):
 def fitted(spark: SparkSession, folder: str, k: int, max_iter: int = 5, **options) -> topic_model.TopicModel:
     counts = options.pop("counts", None)
     if counts is None:
-        counts = noun_counts(spark, folder).select("doc_id", "word", "n")
+        counts = materialize(noun_counts(spark, folder).select("doc_id", "word", "n"), "nouns")
     return topic_model.fit_topics(counts, k, max_iter=max_iter, **options)
 
 
@@ -415,6 +415,7 @@ def topic_fit_prevalence(spark, folder):
     """Prevalence on group and a spline of the document number, over the labelled documents."""
     meta = materialize(catalog.parties(spark, folder), "meta")
     counts = noun_counts(spark, folder).join(meta.select("doc_id"), "doc_id").select("doc_id", "word", "n")
+    counts = materialize(counts, "nouns")
     covariates = topic_model.prevalence_covariates(meta, [F.col("party") == "B"], spline="doc_id")
     model = fitted(spark, folder, 4, counts=counts, covariates=covariates)
     sums = model.theta.select("doc_id", F.aggregate("theta", F.lit(0.0), lambda a, b: a + b).alias("s"))
