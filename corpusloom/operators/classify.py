@@ -103,7 +103,8 @@ def loo_naive_bayes(counts: DataFrame, labels: DataFrame, key: str, label: str,
 
     Leaving a document out only lowers its own class's counts by its own, so
     all n fits follow from one table of class totals: one join on the word and
-    one sum per document. ``counts`` is (key, word, n), ``words`` the vocabulary.
+    one sum per document. Equal scores go to the later label. ``counts`` is
+    (key, word, n), ``words`` the vocabulary.
     """
     cells = counts.join(words.select("word"), "word").join(labels.select(key, label), key)
     per_word = cells.groupBy("word").agg(
@@ -138,7 +139,7 @@ def candidates(label: str, weight: str, inputs: int, seed: int) -> dict[str, Cal
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol=weight, regParam=0.01, maxIter=30),
         "forest": lambda: RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=20, maxDepth=5, seed=seed),
         "boosted": lambda: GBTClassifier(labelCol=label, weightCol=weight, maxIter=10, maxDepth=3, seed=seed),
-        "bayes": lambda: NaiveBayes(labelCol=label, weightCol=weight),
+        "bayes": lambda: NaiveBayes(labelCol=label, weightCol=weight, modelType="gaussian"),
         "perceptron": lambda: MultilayerPerceptronClassifier(labelCol=label, layers=[inputs, 8, 2], maxIter=40, seed=seed),
     }
 
