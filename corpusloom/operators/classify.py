@@ -149,24 +149,25 @@ def leaderboard(
 ) -> tuple[DataFrame, Model]:
     """Models ranked by test AUC, and the best one.
 
-    The time limit is checked between fits: a started fit is finished.
+    The time limit is checked between fits: a started fit is finished. Both
+    inputs should be stored tables.
     """
     scaled = Pipeline(stages=[
         VectorAssembler(inputCols=list(inputs), outputCol="raw"), MinMaxScaler(inputCol="raw", outputCol="features"),
     ]).fit(train)
     ready, held = scaled.transform(train), scaled.transform(test)
-    begun, table, fits = time.monotonic(), None, {}
+    begun, scores, fits = time.monotonic(), [], {}
     for name, make in candidates(label, weight, len(inputs), seed).items():
         if fits and time.monotonic() - begun > max_seconds:
             break
         fits[name] = make().fit(ready)
         scored = fits[name].transform(held).select(key, F.col(label).alias("actual"), vector_to_array("probability")[1].alias("score"))
-        row = auc(scored, "score", F.col("actual") == 1).select(F.lit(name).alias("model"), "auc", "n_pos", "n_neg")
-        table = row if table is None else table.unionByName(row)
-    ranked = sorted(table.collect(), key=lambda r: -(r["auc"] or 0.0))
-    rows = [(i + 1, r["model"], r["auc"], r["n_pos"], r["n_neg"]) for i, r in enumerate(ranked)]
+        area = auc(scored, "score", F.col("actual") == 1).first()
+        scores.append((name, area["auc"], area["n_pos"], area["n_neg"]))
+    ranked = sorted(scores, key=lambda r: -(r[1] or 0.0))
+    rows = [(i + 1, *row) for i, row in enumerate(ranked)]
     board = train.sparkSession.createDataFrame(rows, "place INT, model STRING, auc DOUBLE, n_pos BIGINT, n_neg BIGINT")
-    return board, fits[ranked[0]["model"]]
+    return board, fits[ranked[0][0]]
 
 
 def importances(model: Model, names: Sequence[str]) -> list[tuple[str, float]]:

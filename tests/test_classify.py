@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import classify
 from corpusloom.sources import files
-from corpusloom.session import scratch_path
+from corpusloom.session import materialize, scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -90,7 +90,7 @@ def test_leave_one_out_naive_bayes_equals_refits(spark):
 def test_cross_validate_one_fold_per_row(spark, rows):
     df, _ = rows
     small = classify.assemble(df.filter("doc_id < 12"), ["x", "z"]).withColumn("fold", F.col("doc_id").cast("int"))
-    scores = classify.cross_validate(small.cache(), LogisticRegression(labelCol="label", maxIter=5), "label", "fold", range(12))
+    scores = classify.cross_validate(materialize(small, "small"), LogisticRegression(labelCol="label", maxIter=5), "label", "fold", range(12))
     assert len(scores) == 12 and all(n == 1 and s in (0.0, 1.0) for _, n, s in scores)
 
 
@@ -99,7 +99,7 @@ def test_leaderboard_weights_and_saved_model(spark, rows):
     weighted = classify.class_weights(classify.split_stratified(df, "doc_id", "label", 0.7, 2), "label")
     sums = {r.label: r.s for r in weighted.groupBy("label").agg(F.sum("weight").alias("s")).collect()}
     assert all(math.isclose(s, len(pdf) / 2) for s in sums.values())
-    stored = weighted.cache()
+    stored = materialize(weighted, "weighted")
     board, best = classify.leaderboard(stored.filter("is_train"), stored.filter("not is_train"), ["x", "z"], "label", "doc_id", "weight", 1)
     table = board.toPandas()
     assert len(table) == 5 and table["auc"].is_monotonic_decreasing and table["auc"].iloc[0] > 0.6
