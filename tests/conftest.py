@@ -1,7 +1,11 @@
 import os
 import sys
 
-import pytest
+# One thread per numpy call: the dense reference answers compete with Spark for the cores.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
