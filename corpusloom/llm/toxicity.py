@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import texts as X
+from corpusloom.llm.simhash import shingle_hashes
+from corpusloom.session import materialize
 
 SHARD_BYTES = 6 << 20
 #: The model is fitted on at most this many labelled documents of either class, those with the smallest id hashes.
@@ -86,12 +88,35 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(feature)).astype(np.int64) - bad)], names=["f", "toxic", "clean"])
 
 
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three minimum hashes of the five-word shingles of a text."""
+    for shard in X.pieces(batches, "text", SHARD_BYTES):
+        hashes, sizes = shingle_hashes(X.raw_texts(shard, "text"), 5)
+        some, least = np.flatnonzero(sizes), np.zeros((3, len(sizes)), dtype=np.uint64)
+        for k, times in enumerate(_SPREAD):
+            if some.size:
+                least[k, some] = np.minimum.reduceat(hashes * times, (np.cumsum(sizes) - sizes)[some])
+        yield pa.RecordBatch.from_arrays([shard.column("_id"), shard.column("toxic"), *(pa.array(x.view(np.int64)) for x in least)], names=["_id", "toxic", "m0", "m1", "m2"])
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Sample rows without most near copies, whose words would all look telling: one row for each minimum hash, three times over."""
+    kept = rows.mapInArrow(_least_hashes, "_id long, toxic int, m0 long, m1 long, m2 long")
+    for m in ("m0", "m1", "m2"):
+        kept = kept.groupBy(m, "toxic").agg(F.min(F.struct("_id", "m0", "m1", "m2")).alias("r")).select("toxic", "r.*")
+    return rows.join(kept.select("_id").distinct(), "_id", "left_semi").select("text", "toxic")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """The bounded sample of labelled documents: (text, toxic)."""
     marked = labels.where("toxic IS NOT NULL").select(F.col(doc).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("_id")
     picked = marked.where("toxic > 0").orderBy(order, "_id").limit(TOXIC_ROWS).union(marked.where("toxic = 0").orderBy(order, "_id").limit(CLEAN_ROWS))
-    return docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("text", "toxic")
+    sample = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).join(picked, "_id").select("_id", "text", "toxic")
+    return materialize(one_of_each(materialize(sample, "labelled")), "labelled")
 
 
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, width: int, grades: int, steps: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
