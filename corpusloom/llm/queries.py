@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, pieces, simhash, toxicity
+from corpusloom.llm import decontaminate, line_dedup, pieces, simhash, token_counts, toxicity, vector_search, warc
 from corpusloom.llm.texts import read_table
+from corpusloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +94,45 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_pieces", "n_chunks", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+OP4_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(r.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query("op4_exact_top_k", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = vector_search.whole_numbers(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), "embedding")
+    return vector_search.top_products(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+_DIGEST_SQL = "concat(" + ", ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST(concat('0x', substr(h, {1 + 5 * k}, 5)) AS BIGINT) >> {s}) & 31), 1)"
+    for k in range(8) for s in (15, 10, 5, 0)) + ")"
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS MATERIALIZED (SELECT page_id, payload_bytes, {_DIGEST_SQL} AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS keeper FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM d JOIN k ON d.payload_digest = k.payload_digest
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(read_table(spark, folder, "pages"), path)
+    return warc.page_facts(warc.captures(warc.read(spark, path)))
