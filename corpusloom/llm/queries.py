@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, pieces, simhash, token_counts, toxicity, vector_search, warc
+from corpusloom.llm import decontaminate, line_dedup, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
 from corpusloom.llm.texts import read_table
 from corpusloom.session import scratch_path
 
@@ -136,3 +136,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(read_table(spark, folder, "pages"), path)
     return warc.page_facts(warc.captures(warc.read(spark, path)))
+
+
+def _joined(spans):
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _count(column: str, kind: str):
+    return F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", *(_count("secrets", k).alias(f"n_{k}") for k in secrets.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.train(docs)).withColumn("first", F.filter("pii", lambda s: s["base"]))
+    return found.select(
+        "doc_id", *(_count("first", k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(_joined(F.col("first")), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
