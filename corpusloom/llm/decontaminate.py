@@ -156,7 +156,7 @@ def _benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[li
         yield block
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id") -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", prefix: str = "") -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (merged byte spans), ``n_hit`` and ``hit_items`` added.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. Every window of ``window`` consecutive
@@ -166,13 +166,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     in blocks of bounded size and refused beyond ``BENCHMARK_BYTES``.
 
     A null or empty text has no words and no hits; a null item text has no phrase; repeated rows are kept; a null item id counts
-    as the empty string; columns of ``docs`` named like the added ones are replaced.
+    as the empty string; columns of ``docs`` named like the added ones (``prefix`` is put before these) are replaced.
     """
-    added = {"n_words": "bigint", "n_hit": "bigint", "hit_spans": HITS, "hit_items": "array<string>"}
+    added = {f"{prefix}n_words": "bigint", f"{prefix}n_hit": "bigint", f"{prefix}hit_spans": HITS, f"{prefix}hit_items": "array<string>"}
     out = docs.drop(*added)
     blocks = [phrases(b, window) for b in _benchmark_blocks(benchmark, item, text)] or [phrases([], window)]
     schema = T.StructType(out.schema.fields + T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields)
-    arrow = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("hit_items", pa.list_(pa.string()))]
+    arrow = list(zip(added, (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in X.pieces(batches, text, SHARD_BYTES):
@@ -210,21 +210,22 @@ def remove_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, tex
 
     Columns are those of ``docs`` with ``n_cut`` (words cut) added. A clean document, null text included, is returned as it is.
     """
-    found = find_overlaps(docs, benchmark, window, text)
+    own = "__overlap_"  # keeps columns of ``docs`` with the plain names
+    found = find_overlaps(docs, benchmark, window, text, prefix=own)
     schema = T.StructType(docs.drop("n_cut").schema.fields + [T.StructField("n_cut", T.LongType())])
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.pieces(batches, text, SHARD_BYTES):
-            hits = batch.column("n_hit").to_numpy()
+            hits = batch.column(f"{own}n_hit").to_numpy()
             kept = [x for x in batch.column(text).cast(pa.binary()).to_pylist()]
             for row in np.flatnonzero(hits).tolist():
                 value, parts, last = kept[row], [], 0
-                for place in batch.column("hit_spans")[row].as_py():
+                for place in batch.column(f"{own}hit_spans")[row].as_py():
                     parts.append(value[last : place["start"]])
                     last = place["end"]
                 kept[row] = b"\n".join([*parts, value[last:]])
-            stays = hits < batch.column("n_words").to_numpy()
+            stays = hits < batch.column(f"{own}n_words").to_numpy()
             stays |= hits == 0
             columns = {n: batch.column(n) for n in names if n not in (text, "n_cut")}
             columns |= {text: pa.array(kept, type=pa.binary()).cast(batch.column(text).type), "n_cut": pa.array(hits)}

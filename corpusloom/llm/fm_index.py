@@ -18,7 +18,7 @@ def suffix_order(text: np.ndarray, symbols: int) -> np.ndarray:
     key, plain = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for j in range(depth):
         ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - j] = text[j:]
+        ahead[: max(0, n - j)] = text[j:]
         plain &= ahead > 0
         key = (key << bits) | np.where(plain, ahead, 0)
     order = np.argsort(key, kind="stable")

@@ -138,9 +138,9 @@ def kept_text(value: bytes, keep: bytes) -> bytes:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """``docs`` with only their kept lines, ``n_lines`` and ``n_dropped`` added. A null text stays null."""
     out = docs.drop("n_lines", "n_dropped")
-    right = bitmaps.select(F.col("id").alias("_id"), F.col("text_id").alias("_text_id"), "n_lines", "n_dropped", F.col("keep").alias("_keep"))
-    both = out.join(right, (X.id_key(doc) == F.col("_id")) & (F.xxhash64(text) == F.col("_text_id")), "left").drop("_id", "_text_id")
-    target = both.drop("_keep").schema
+    right = bitmaps.select(F.col("id").alias("__id"), F.col("text_id").alias("__text_id"), "n_lines", "n_dropped", F.col("keep").alias("__keep"))
+    both = out.join(right, (X.id_key(doc) == F.col("__id")) & (F.xxhash64(text) == F.col("__text_id")), "left").drop("__id", "__text_id")
+    target = both.drop("__keep").schema
     names = target.names
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", doc:
             dropped = np.asarray(batch.column("n_dropped"))
             values = batch.column(text).cast(pa.binary()).to_pylist()
             for row in np.flatnonzero(dropped).tolist():
-                values[row] = kept_text(values[row], batch.column("_keep")[row].as_py())
+                values[row] = kept_text(values[row], batch.column("__keep")[row].as_py())
             columns = {n: batch.column(n) for n in names} | {text: pa.array(values, pa.binary()).cast(batch.column(text).type)}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 

@@ -128,6 +128,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     Equal rows count once. A null text is like an empty one; a null id sorts last. Further columns are kept as they are.
     """
     classes = materialize(near_copy_classes(docs, words, similarity, text, doc), "classes")
-    chosen = classes.groupBy("class").agg(F.min(F.struct("id", "node")).alias("c")).select(F.col("c.id").alias("_id"), F.col("c.node").alias("_node"))
-    keyed = docs.withColumn("_id", X.id_key(doc)).withColumn("_node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    return keyed.join(chosen, ["_id", "_node"]).dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    chosen = classes.groupBy("class").agg(F.min(F.struct("id", "node")).alias("c")).select(F.col("c.id").alias("__id"), F.col("c.node").alias("__node"))
+    keyed = docs.withColumn("__id", X.id_key(doc)).withColumn("__node", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return keyed.join(chosen, ["__id", "__node"]).dropDuplicates(["__id", "__node"]).select(*docs.columns)

@@ -246,15 +246,15 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", chunk: int = CH
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                ids = np.frombuffer(one.column("_ids")[0].as_py(), dtype=_IDS).astype(np.int64)
-                new = _columns(model, ids, np.array([len(ids)]), one.column("_chunks").to_numpy())
+                ids = np.frombuffer(one.column("__ids")[0].as_py(), dtype=_IDS).astype(np.int64)
+                new = _columns(model, ids, np.array([len(ids)]), one.column("__chunks").to_numpy())
                 yield pa.RecordBatch.from_arrays([*one.select(kept).columns, *new], names=[*kept, *added.names])
 
     short = out.where(~long_ | F.col(text).isNull()).mapInArrow(small, schema)
-    giants = out.where(long_).withColumn("_key", F.unhex(F.sha2(text, 256)))
-    distinct = giants.select(F.col("_key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
-    encoded = encode_giants(distinct, proto, chunk).select(F.col("key").alias("_key"), F.col("n_chunks").alias("_chunks"), F.col("ids").alias("_ids"))
-    return short.unionByName(giants.join(encoded, "_key").drop("_key").mapInArrow(large, schema))
+    giants = out.where(long_).withColumn("__key", F.unhex(F.sha2(text, 256)))
+    distinct = giants.select(F.col("__key").alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    encoded = encode_giants(distinct, proto, chunk).select(F.col("key").alias("__key"), F.col("n_chunks").alias("__chunks"), F.col("ids").alias("__ids"))
+    return short.unionByName(giants.join(encoded, "__key").drop("__key").mapInArrow(large, schema))
 
 
 def _columns(model: PieceModel, ids: np.ndarray, sizes: np.ndarray, chunks: np.ndarray) -> list[pa.Array]:

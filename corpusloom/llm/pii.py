@@ -38,7 +38,7 @@ STEPS, ROUNDS = 150, 12
 #: Log-potential of equal labels on a skip edge that the ridge pulls to; repeated mentions are rare in a training sample.
 AGREE = 6.0
 #: Probability from which a mention outside the base spans is added.
-SURE = 0.9
+SURE = 0.8
 
 Span = tuple[int, int, int]
 
@@ -157,7 +157,7 @@ def graph(texts: list[str]) -> tuple[Graph, list[list[Span]]]:
                     right.append(node)
                     skip.append(kind)
             last = node
-    shape = np.array(features, dtype=np.int64).reshape(len(place), -1)
+    shape = np.array(features, dtype=np.int64).reshape(len(place), len(features[0]) if features else 1)
     return Graph(place, shape, np.array(base, dtype=np.int64), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(skip, dtype=bool)), spans
 
 
