@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
 
 import numpy as np
@@ -257,14 +258,15 @@ class PieceModel:
     # Whole texts.
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has. Each distinct word is encoded once."""
+        """Ids of all texts, and how many each has."""
+        return self.encode_lists(WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts)
+
+    def encode_lists(self, lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all word lists, and how many each has. Each distinct word is encoded once."""
         index: defaultdict[str, int] = defaultdict(count().__next__)
-        uses = []
-        for text in texts:
-            words = WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            uses.append(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)))
+        uses = [np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)) for words in lists]
         if not index:
-            return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            return np.zeros(0, dtype=np.int64), np.zeros(len(uses), dtype=np.int64)
         ids = self.encode_words(list(index))
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat, head = np.concatenate(ids), np.cumsum(sizes) - sizes

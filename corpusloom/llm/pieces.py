@@ -75,6 +75,7 @@ class Chunk:
         starts = _word_starts(text, begin, end)
         self.head = starts[0] if starts else None
         self.tail = starts[-1] if starts else None
+        self._inner: np.ndarray | None = None
 
     def entries(self) -> list[State]:
         """At a word start nothing stands across, and the piece before does not matter."""
@@ -94,7 +95,13 @@ class Chunk:
         return -len(self.model.ids_of(self.text, path))
 
     def middle(self) -> list[str]:
-        return WORDS.findall(self.text[self.head : self.tail])
+        return WORDS.findall(self.text[self.head : self.tail]) if self.head is not None else []
+
+    def inner(self) -> np.ndarray:
+        """Ids between the first and the last word start, where nothing depends on the entry."""
+        if self._inner is None:
+            fill(self.model, [self])
+        return self._inner
 
     def matrix(self) -> Matrix:
         """Weight (minus the ids) of the path from each entry state to each exit state.
@@ -114,7 +121,7 @@ class Chunk:
                 if row:
                     out[entry] = row
             return out
-        inner = -sum(map(len, self.model.encode_words(self.middle())))
+        inner = -len(self.inner())
         last = self.model.forward(self.text, self.tail, -1, max(self.tail, self.end - 1))
         row = {x: inner + (self._weight([*self.model.trace(last, self.tail, s), (self.end + x[0], x[1])]) if x != START else 0) for x, s in self.exits(last, self.tail).items()}
         for entry in self.entries():
@@ -136,7 +143,7 @@ class Chunk:
             last = self.model.forward(self.text, begin, entry[1], self.end - 1)
             start = self.exits(last, begin)[exit_]
             return self.model.ids_of(self.text, [*self.model.trace(last, begin, start), (self.end + exit_[0], exit_[1])])
-        parts = [self.model.ids_of(self.text, self.model.path(self.text, begin, entry[1], self.head)), *self.model.encode_words(self.middle())]
+        parts = [self.model.ids_of(self.text, self.model.path(self.text, begin, entry[1], self.head)), self.inner()]
         if exit_ != START:
             last = self.model.forward(self.text, self.tail, -1, max(self.tail, self.end - 1))
             start = self.exits(last, self.tail)[exit_]
@@ -144,6 +151,14 @@ class Chunk:
         return np.concatenate(parts)
 
 
+def fill(model: PieceModel, chunks: list[Chunk]) -> None:
+    """Encode the middles of several chunks at once, each distinct word once."""
+    ids, sizes = model.encode_lists(c.middle() for c in chunks)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    for c, a, b in zip(chunks, bounds[:-1], bounds[1:]):
+        c._inner = ids[a:b]
+
+
 def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
     """Entry and exit state of each chunk on the best path: prefix products, then states chosen from the last chunk back."""
     prefix = [matrices[0]]
@@ -178,9 +193,10 @@ def _cut(chunk: int, reach: int):
     return run
 
 
-def _chunks(batch: pa.RecordBatch, model: PieceModel) -> Iterator[Chunk]:
-    for text, low, high, k, n in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high", "k", "n"))):
-        yield Chunk(model, text, low, high, k == 0, k == n - 1)
+def _chunks(batch: pa.RecordBatch, model: PieceModel) -> list[Chunk]:
+    out = [Chunk(model, text, low, high, k == 0, k == n - 1) for text, low, high, k, n in zip(*(batch.column(c).to_pylist() for c in ("text", "low", "high", "k", "n")))]
+    fill(model, out)
+    return out
 
 
 def encode_giants(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
@@ -189,7 +205,7 @@ def encode_giants(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
     spread = cut.repartition(X.shuffle_width(giants.sparkSession), "key", "k")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, "text", SHARD_BYTES):
             rows = [[(*e, *x, w) for e, r in c.matrix().items() for x, w in r.items()] for c in _chunks(batch, load(proto))]
             cells = [np.array(r, dtype=np.int64).tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(cells, pa.binary())], names=["key", "k", "cells"])
@@ -206,7 +222,7 @@ def encode_giants(giants: DataFrame, proto: bytes, chunk: int) -> DataFrame:
         return pd.DataFrame({"key": pdf.key, "k": pdf.k, "states": [[*e, *x] for e, x in states]})
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.pieces(batches, "text", SHARD_BYTES):
             ids = [c.back((a, b), (d, e)).astype(_IDS).tobytes() for c, (a, b, d, e) in zip(_chunks(batch, load(proto)), batch.column("states").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ids, pa.binary())], names=["key", "k", "ids"])
 
