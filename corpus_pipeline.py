@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, line_dedup, near_dedup, pieces, toxicity
-from corpusloom.llm.texts import read_table
+from corpusloom.llm.texts import read_table, small_batches
 from corpusloom.session import materialize
 
 
@@ -29,11 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds; an emptied document stays, with an empty text."""
+    small_batches(spark)
     return _same_columns(line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -44,6 +46,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids (little-endian 32-bit) of each text, and whether they decode to it."""
+    small_batches(spark)
     coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "lang", "source", "n_pieces", "n_chunks", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

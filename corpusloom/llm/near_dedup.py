@@ -15,7 +15,7 @@ from corpusloom.llm.components import components
 from corpusloom.llm.simhash import majority, near_links, shingle_hashes
 from corpusloom.session import materialize
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 WORDS, SIMILARITY = 5, 0.8
 #: Slices fingerprinted of each text. At a similarity of 0.8 a slice is equal with a chance of 0.25 to 0.5, so 16 of them leave
 #: under one pair in a hundred without an equal slice.

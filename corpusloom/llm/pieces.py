@@ -17,7 +17,7 @@ from corpusloom.llm import texts as X
 from corpusloom.llm.piece_model import SPACE, WORDS, PieceModel
 from corpusloom.session import materialize
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Characters of a chunk; longer documents are encoded chunk by chunk, in tasks of their own.
 CHUNK = 1 << 15
 

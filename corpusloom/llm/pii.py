@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import texts as X
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 
 # The patterns of the base kinds, in the order of listing.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

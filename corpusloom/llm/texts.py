@@ -27,7 +27,15 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 WORD_BYTES = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, where nobody chose otherwise: a batch of whole texts must fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
