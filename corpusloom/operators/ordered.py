@@ -55,15 +55,16 @@ def prefix_sum(
     return joined.withColumn(out, F.col("__in") + F.col("__v_before")).drop("__in", "__v_before", "__k")
 
 
-def id_block(column: str, width: int = 65536) -> Column:
-    """Bucket expression for a whole-number order key."""
-    return F.floor(F.col(column) / F.lit(width)).alias("block")
+def key_bucket(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``, the bucket of a numeric order key between its quantiles: any spacing of keys gives buckets of about equal size."""
+    points = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    cuts = df.agg(F.percentile_approx(key, points, F.lit(10000))).scalar()
+    return _fine_bucket(df.withColumn("__cuts", cuts), key, out)
 
 
 def global_row_number(df: DataFrame, key: str, order: Sequence[str | Column], out: str) -> DataFrame:
     """1..n over the whole table, ordered by ``order`` whose first key is ``key``."""
-    blocked = df.withColumn("__block", id_block(key))
-    return prefix_sum(blocked, F.lit(1), order, "__block", out=out).drop("__block")
+    return prefix_sum(key_bucket(df, key, "__block"), F.lit(1), order, "__block", out=out).drop("__block")
 
 
 def hash_rank(df: DataFrame, key: str, group: Sequence[str], seed: int, out: str) -> DataFrame:
@@ -90,10 +91,13 @@ def _below(value: str, indexes: Sequence[Column | int]) -> Column:
 
 def _bucketed(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """Adds ``__b``, one of 256 buckets of about equal size in value order, found in two steps of 16."""
-    cut = _with_cuts(df, value, group, [i / BINS for i in range(1, BINS)])
+    return _fine_bucket(_with_cuts(df, value, group, [i / BINS for i in range(1, BINS)]), value, "__b")
+
+
+def _fine_bucket(cut: DataFrame, value: str, out: str) -> DataFrame:
     coarse = cut.withColumn("__c", _below(value, [SIDE * i - 1 for i in range(1, SIDE)]))
     fine = _below(value, [F.col("__c") * SIDE + j for j in range(SIDE - 1)])
-    return coarse.withColumn("__b", F.col("__c") * SIDE + fine).drop("__cuts", "__c")
+    return coarse.withColumn(out, F.col("__c") * SIDE + fine).drop("__cuts", "__c")
 
 
 def running_total(

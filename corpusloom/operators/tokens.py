@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.grouped import attach
-from corpusloom.operators.ordered import global_row_number, id_block, prefix_sum
+from corpusloom.operators.ordered import global_row_number, key_bucket, prefix_sum
 
 FORMAL_TAGS = ("NOUN", "ADJ", "ADP", "DET")
 CONTEXT_TAGS = ("PRON", "VERB", "AUX", "ADV")
@@ -39,7 +39,7 @@ def segments(lines: DataFrame, key: str, order: str, delimiter: str, text: str =
 
     A delimiter line opens its segment; lines before the first one get -1.
     """
-    marked = lines.withColumn("__mark", F.col(text).rlike(delimiter).cast("int")).withColumn("__block", id_block(key))
+    marked = key_bucket(lines.withColumn("__mark", F.col(text).rlike(delimiter).cast("int")), key, "__block")
     counted = prefix_sum(marked, "__mark", [key, order], "__block", out=out)
     return counted.withColumn(out, F.col(out) - 1).drop("__mark", "__block")
 
@@ -113,6 +113,22 @@ def term_counts(tokens: DataFrame, keys: Sequence[str], word: str = "word") -> D
     return tokens.groupBy(*keys, word).agg(F.count(F.lit(1)).alias("n"))
 
 
+def lemma_counts(
+    counts: DataFrame, model: dict[str, DataFrame], stop: DataFrame, extra: Sequence[str], tags: Sequence[str], more_than: int
+) -> DataFrame:
+    """(keys, word, n) of the lemmas of words with the given tags, as words of their own.
+
+    Tags and lemmas are looked up once per distinct word; stop words and the
+    minimum of uses are those of the lemma, over all its forms.
+    """
+    tagged = tag_tokens(vocabulary_totals(counts), model, token="word").filter(F.col("upos").isin(*tags))
+    forms = tagged.select("word", "total", F.explode(X.words("lemma")).alias("__lemma"))
+    kept = drop_stop_words(forms, stop, extra, word="__lemma")
+    frequent = attach(kept, ["__lemma"], F.sum("total").alias("__all")).filter(F.col("__all") > more_than)
+    keys = [c for c in counts.columns if c not in ("word", "n")]
+    return counts.join(frequent.select("word", "__lemma"), "word").groupBy(*keys, F.col("__lemma").alias("word")).agg(F.sum("n").alias("n"))
+
+
 def top_vocabulary(counts: DataFrame, size: int, word: str = "word", n: str = "n") -> DataFrame:
     """The most used words; equal counts are ordered by word."""
     return counts.groupBy(word).agg(F.sum(n).alias("total")).orderBy(F.desc("total"), word).limit(size)
@@ -169,7 +185,8 @@ def token_positions(lines: DataFrame, keys: Sequence[str], text: str = "text") -
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("token"),
         F.slice(F.split(text, X.PIECE_PATTERN), F.lit(1), F.regexp_count(F.col(text), pattern)).alias("gap"),
     )
-    rows = lines.select(*keys, F.posexplode(pieces).alias("token_no", "p")).select(
+    # Lines are dealt out before they become tokens, so the window below shuffles nothing.
+    rows = lines.repartition(*keys).select(*keys, F.posexplode(pieces).alias("token_no", "p")).select(
         *keys, "token_no", F.col("p.token").alias("token"), F.length("p.gap").alias("gap")
     )
     w = Window.partitionBy(*keys).orderBy("token_no")

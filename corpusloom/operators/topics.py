@@ -150,22 +150,24 @@ def coherence(beta: DataFrame, counts: DataFrame, n: int = 10) -> DataFrame:
 
     Each document is reduced to a bit pattern of the top terms it contains;
     patterns are counted, so pairs are formed from at most 2^n patterns per
-    topic, not from documents.
+    topic, not from documents. ``n`` is at most 62, the places of a pattern.
     """
+    if n > 62:
+        raise ValueError("coherence takes 62 terms of a topic at most")
     top = _likeliest(beta, n).select("topic", F.col("term").alias("word"), "place")
     present = counts.select("doc_id", "word").join(top, "word")
-    masks = present.groupBy("topic", "doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("place") - 1)).alias("mask"))
+    masks = present.groupBy("topic", "doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") - 1)).alias("mask"))
     patterns = masks.groupBy("topic", "mask").agg(F.count("*").alias("docs"))
 
-    def has(place: int) -> Column:
-        return F.col("mask").bitwiseAND(F.lit(1 << (place - 1))) != 0
-
-    sums = [F.sum(F.when(has(j), F.col("docs"))).alias(f"d{j}") for j in range(1, n)]
-    pairs = [(i, j) for i in range(2, n + 1) for j in range(1, i)]
-    sums += [F.coalesce(F.sum(F.when(has(i) & has(j), F.col("docs"))), F.lit(0)).alias(f"d{i}_{j}") for i, j in pairs]
-    counted = patterns.groupBy("topic").agg(*sums)
-    terms = [F.coalesce(F.ln((F.col(f"d{i}_{j}") + 1) / F.col(f"d{j}")), F.lit(0.0)) for i, j in pairs]
-    return counted.select("topic", reduce(lambda a, b: a + b, terms).alias("semantic_coherence"))
+    places = F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i - 1)) != 0)
+    held = patterns.select("topic", "docs", places.alias("places"))
+    alone = held.select("topic", "docs", F.explode("places").alias("j")).groupBy("topic", "j").agg(F.sum("docs").alias("d"))
+    both = held.select("topic", "docs", "places", F.explode("places").alias("j")).select(
+        "topic", "docs", "j", F.explode(F.filter("places", lambda i: i > F.col("j"))).alias("i"))
+    together = both.groupBy("topic", "i", "j").agg(F.sum("docs").alias("dd"))
+    wanted = alone.where(F.col("j") < n).select("topic", "j", "d", F.explode(F.sequence(F.col("j") + 1, F.lit(n))).alias("i"))
+    score = F.ln((F.coalesce("dd", F.lit(0)) + 1) / F.col("d"))
+    return wanted.join(together, ["topic", "i", "j"], "left").groupBy("topic").agg(F.sum(score).alias("semantic_coherence"))
 
 
 def fitted_cells(counts: DataFrame, weights: DataFrame, shares: DataFrame, topics: int) -> DataFrame:

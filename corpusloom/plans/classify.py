@@ -288,7 +288,7 @@ def automl_leaderboard(spark, folder):
     marked = classify.class_weights(classify.split_stratified(table, "doc_id", "party", 0.7, SEED), "party")
     stored = materialize(marked, "leaderboard")
     board, _ = classify.leaderboard(
-        stored.filter("is_train"), stored.filter("not is_train"), TABLE, "label", "doc_id", "weight", SEED, max_seconds=3600
+        stored.filter("is_train"), stored.filter("not is_train"), TABLE, "label", "doc_id", "weight", SEED
     )
     return board.select("model", "n_pos", "n_neg", (F.col("auc").between(0.0, 1.0) & (F.col("place") <= 5)).alias("ranked"))
 

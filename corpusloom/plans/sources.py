@@ -12,9 +12,17 @@ from corpusloom.sources import catalog, files
 from corpusloom.sources.lexicons import lexicon
 
 
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.explode_lines(catalog.documents(spark, folder).select("doc_id", "text"))
+
+
 @query("scan_text_lines", with_blocks("SELECT doc_id, line_no, text FROM lines", "lines"))
 def scan_text_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.explode_lines(catalog.documents(spark, folder).select("doc_id", "text"))
+    """Text files written from the documents, a numbered line each, and read back as lines."""
+    path = scratch_path(spark, "lines-text")
+    _lines(spark, folder).select(F.concat_ws("\t", "doc_id", "line_no", "text").alias("value")).write.text(path)
+    parts = F.split("text", "\t", 3)
+    return files.read_lines(spark, path).select(parts[0].cast("long").alias("doc_id"), parts[1].cast("int").alias("line_no"), parts[2].alias("text"))
 
 
 @query(
@@ -25,7 +33,7 @@ def scan_text_lines(spark: SparkSession, folder: str) -> DataFrame:
 )
 def scan_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "lines-csv")
-    files.write_csv(scan_text_lines(spark, folder), path)
+    files.write_csv(_lines(spark, folder), path)
     return files.read_csv(spark, path, "doc_id BIGINT, line_no INT, text STRING")
 
 

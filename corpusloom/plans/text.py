@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import contrast, grouped, measures, sentiment, tokens
 from corpusloom.plans.registry import (
-    PIECE, READABILITY, SENTENCE, STOPPED, TAGGER, block, query, tag_sql, text_literal, with_blocks,
+    PIECE, READABILITY, SENTENCE, STOPPED, TAGGER, WORD, block, query, tag_sql, text_literal, with_blocks,
 )
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sources import catalog
@@ -33,21 +33,17 @@ def tagger(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def noun_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, source, lang, word, n) of the topic vocabulary: nouns, no stop words, used more than 3 times."""
+    """(doc_id, source, lang, word, n) of the topic vocabulary: lemmas of nouns, no stop words, used more than 3 times."""
     docs = catalog.documents(spark, folder).select("doc_id", "source", "lang", "text")
     counts = tokens.term_counts(tokens.explode_words(docs), ["doc_id", "source", "lang"])
-    # Words are tagged and filtered once per distinct word, then the cells are matched with what is left.
-    frequent = tokens.vocabulary_totals(counts).filter(F.col("total") > 3)
-    kept = tokens.drop_stop_words(frequent, lexicon(spark, "stop_words"), DOMAIN_STOP_WORDS)
-    nouns = tokens.tag_tokens(kept, tagger(spark), token="word").filter(F.col("upos").isin(*tokens.NOUN_TAGS))
-    return counts.join(nouns.select("word"), "word")
+    return tokens.lemma_counts(counts, tagger(spark), lexicon(spark, "stop_words"), DOMAIN_STOP_WORDS, tokens.NOUN_TAGS, more_than=3)
 
 
 block(
     "nouns", ("tok", "vtag", "stop_words"),
-    "SELECT t.doc_id, t.source, t.lang, t.word, count(*) AS n FROM tok t JOIN (SELECT v.word FROM vtag v JOIN tok u ON u.word = v.word "
-    f"WHERE v.upos IN ('NOUN', 'PROPN') AND v.word NOT IN ({DOMAIN}) AND v.word NOT IN (SELECT word FROM stop_words) "
-    "GROUP BY v.word HAVING count(*) > 3) k ON t.word = k.word GROUP BY ALL",
+    "SELECT doc_id, source, lang, word, n FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS everywhere FROM (SELECT doc_id, source, lang, word, count(*) AS n "
+    f"FROM (SELECT t.doc_id, t.source, t.lang, unnest(regexp_extract_all(lower(v.lemma), {WORD}, 0)) AS word FROM tok t JOIN vtag v ON t.word = v.word "
+    f"WHERE v.upos IN ('NOUN', 'PROPN')) WHERE word NOT IN ({DOMAIN}) AND word NOT IN (SELECT word FROM stop_words) GROUP BY ALL)) WHERE everywhere > 3",
 )
 
 

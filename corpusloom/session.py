@@ -59,15 +59,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute ``df`` on ``key`` only when its scan has too few splits.
-
-    A corpus of many files already has enough splits and is returned as is; a
-    single small file would otherwise tokenize on one core.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, key)

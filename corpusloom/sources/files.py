@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 from corpusloom.operators.ordered import prefix_sum
 
 
+FILE_ROWS = 1_000_000
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per text line: (file, line_no, text), line_no counted from 0 per file.
 
@@ -28,10 +31,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
-    """Header CSV with an explicit schema; empty and ``NA`` are null."""
+    """Header CSV with an explicit schema; empty and ``NA`` are null. A quoted field may hold line breaks, so files are not split."""
     frame = spark.read.schema(schema).csv(
         path, header=True, sep=sep, nullValue="NA", quote='"', escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n", multiLine=True,
     )
     strings = {f.name: F.nullif(F.col(f.name), F.lit("")) for f in frame.schema if isinstance(f.dataType, T.StringType)}
     return frame.withColumns(strings)
@@ -53,8 +56,8 @@ def read_csv2(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Header CSV with ``NA`` for null, one file per partition."""
-    df.write.mode("overwrite").csv(
+    """Header CSV with ``NA`` for null; files of bounded length, as they are read whole."""
+    df.write.option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").csv(
         path, header=True, sep=sep, nullValue="NA", quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n",
     )

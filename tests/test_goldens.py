@@ -170,3 +170,11 @@ def test_null_groups_survive(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g STRING, v INT")
     got = {(r.g, r.v, r.m) for r in grouped.attach(df, ["g"], F.max("v").alias("m")).collect()}
     assert got == {(None, 1, 2), (None, 2, 2), ("a", 3, 3)}
+
+
+def test_forms_of_a_lemma_are_one_term(spark):
+    model = tokens.train_tagger(spark.createDataFrame([("stations", "station", "NOUN"), ("station", "station", "NOUN"), ("ran", "run", "VERB"), ("hq", "head office", "NOUN")], "token STRING, lemma STRING, upos STRING"))
+    counts = spark.createDataFrame([(1, "stations", 2), (1, "station", 1), (2, "stations", 1), (2, "ran", 9), (2, "hq", 2), (1, "office", 2)], "doc_id BIGINT, word STRING, n BIGINT")
+    stop = spark.createDataFrame([("head",)], "word STRING")
+    got = {(r.doc_id, r.word): r.n for r in tokens.lemma_counts(counts, model, stop, (), tokens.NOUN_TAGS, more_than=3).collect()}
+    assert got == {(1, "station"): 3, (2, "station"): 1, (2, "office"): 2, (1, "office"): 2}

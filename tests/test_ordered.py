@@ -83,3 +83,12 @@ def test_reversed_levels(spark):
     df = spark.createDataFrame([(10, "a"), (20, "b"), (30, "a"), (40, "b")], "k BIGINT, g STRING")
     got = {r.g: r.level_value for r in charts.reversed_levels(df, "k", "g").collect()}
     assert got == {"a": (40 + 20) / 2, "b": (30 + 10) / 2}
+
+
+@pytest.mark.parametrize("ids", [range(700), [(-1) ** i * (i * 2**53 + i) for i in range(700)]], ids=["dense", "sparse"])
+def test_row_numbers_use_many_buckets(spark, ids):
+    rows = [(i, j) for i in ids for j in range(1 + abs(i) % 3)]
+    df = spark.createDataFrame(rows, "doc BIGINT, line INT").repartition(5)
+    got = {(r.doc, r.line): r.n for r in ordered.global_row_number(df, "doc", ["doc", "line"], "n").collect()}
+    assert got == {row: n + 1 for n, row in enumerate(sorted(rows))}
+    assert ordered.key_bucket(df, "doc", "b").select("b").distinct().count() > 100

@@ -53,7 +53,7 @@ def test_no_query_plans_a_cross_product(spark):
 
 def test_readability_needs_no_shuffle(spark):
     exchanges = re.findall(r"Exchange (\w+)\([^\n]*", plan(spark, "read_ari"))
-    assert len(exchanges) <= 1  # only the spreading of a single-split test file
+    assert exchanges == []
 
 
 def test_no_local_checkpoint_or_unbounded_collect():
@@ -61,3 +61,9 @@ def test_no_local_checkpoint_or_unbounded_collect():
 
     for path in pathlib.Path(entry.__file__).parent.joinpath("corpusloom").rglob("*.py"):
         assert "localCheckpoint" not in path.read_text()
+
+
+def test_tagged_tokens_are_not_shuffled(spark):
+    lines = plan(spark, "pos_tag").split("\n")
+    explode = next(i for i, line in enumerate(lines) if re.search(r"Generate posexplode\(arrays_zip", line))
+    assert not any("Exchange hashpartitioning" in line for line in lines[:explode])

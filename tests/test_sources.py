@@ -42,3 +42,12 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
     query = tokens.explode_words(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
     query.awaitTermination(60)
     assert sorted(r.word for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
+
+
+def test_csv_fields_with_line_breaks(spark, tmp_path):
+    data = {1: "a\nb", 2: "c", 3: 'say "x",\n\n', 4: "\n"}
+    df = spark.createDataFrame(list(data.items()), "id BIGINT, t STRING")
+    for write, read in ((files.write_csv, files.read_csv), (files.write_csv2, files.read_csv2)):
+        path = str(tmp_path / write.__name__)
+        write(df, path)
+        assert {r.id: r.t for r in read(spark, path, "id BIGINT, t STRING").collect()} == data

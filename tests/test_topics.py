@@ -118,3 +118,31 @@ def test_bound_summary_and_heldout(spark):
     fitted = spark.createDataFrame([(d, f"w{w}", 2, 0.25) for d in range(40) for w in range(10)], "doc_id BIGINT, word STRING, n BIGINT, q DOUBLE")
     held = topics.held_out_likelihood(fitted, seed=1, doc_share=0.5).first()
     assert 5 < held.docs < 35 and math.isclose(held.expected_heldout, math.log(0.25))
+
+
+def test_words_of_left_out_documents_get_no_number(spark, corpus):
+    """Terms found only in documents without covariates leave no gaps, on either side of the size limit."""
+    lonely = spark.createDataFrame([(1000, f"a{i}", 3) for i in range(5)] + [(1001, f"zz{i}", 2) for i in range(5)], "doc_id BIGINT, word STRING, n BIGINT")
+    meta = corpus.select("doc_id").distinct().select("doc_id", F.array(F.lit(1.0), (F.col("doc_id") % 2).cast("double")).alias("x"))
+    fits = [tm.fit_topics(corpus.union(lonely), 3, meta, max_iter=4, broadcast_limit=limit) for limit in (tm.BROADCAST_LIMIT, 0)]
+    tables = [f.beta.toPandas().sort_values(["topic", "term"]) for f in fits]
+    assert [len(t) for t in tables] == [90, 90] and not tables[0]["term"].str.match("a|zz").any()
+    assert np.allclose(tables[0]["beta"], tables[1]["beta"], atol=1e-6) and np.allclose(fits[0].trace, fits[1].trace)
+    assert np.allclose(tables[0].groupby("topic")["beta"].sum(), 1)
+
+
+def test_coherence_of_many_terms(spark):
+    rng = np.random.default_rng(2)
+    terms = [f"t{i:02d}" for i in range(45)]
+    docs = [set(rng.choice(terms, size=rng.integers(1, 30), replace=False)) for _ in range(40)]
+    beta = spark.createDataFrame([(1, t, 1.0 / (i + 1)) for i, t in enumerate(terms)], "topic INT, term STRING, beta DOUBLE")
+    counts = spark.createDataFrame([(d, t, 1) for d, ts in enumerate(docs) for t in ts], "doc_id BIGINT, word STRING, n BIGINT")
+    top = terms[:40]
+    expected = 0.0
+    for i in range(1, 40):
+        for j in range(i):
+            alone = sum(top[j] in d for d in docs)
+            expected += math.log((sum(top[i] in d and top[j] in d for d in docs) + 1) / alone) if alone else 0.0
+    assert math.isclose(topics.coherence(beta, counts, n=40).first()["semantic_coherence"], expected, rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        topics.coherence(beta, counts, n=63)
