@@ -198,20 +198,49 @@ def ml_kmeans_wss(spark, folder):
     )
 
 
+# Leading eigenvectors of the covariance by repeated squaring: the square of a symmetric matrix, scaled by its trace, tends to the
+# projection on the leading one; the second is found after taking the first out.
+_N = range(len(FEATURES))
+_CELLS = [(i, j) for i in _N for j in _N if i <= j]
+SQUARINGS = 30
+
+
+def _cell(i: int, j: int) -> str:
+    return f"m{min(i, j)}{max(i, j)}"
+
+
+block("pcov", ("prof",), "SELECT " + ", ".join(f"covar_samp({FEATURES[i]}, {FEATURES[j]}) AS {_cell(i, j)}" for i, j in _CELLS) + " FROM prof")
+
+
+def _squared(first: str, name: str) -> None:
+    """Blocks ``name`` (unit vector v0.. with its largest part positive) and ``name`` + "left" (the matrix without it)."""
+    last, trace = first, " + ".join(_cell(i, i) for i in _N)
+    for step in range(SQUARINGS):
+        product = {(i, j): " + ".join(f"{_cell(i, k)} * {_cell(k, j)}" for k in _N) for i, j in _CELLS}
+        inner = "SELECT " + ", ".join(f"{product[c]} AS {_cell(*c)}" for c in _CELLS) + f" FROM {last}"
+        block(f"{name}{step}", (last,), "SELECT " + ", ".join(f"{_cell(*c)} / ({trace}) AS {_cell(*c)}" for c in _CELLS) + f" FROM ({inner})")
+        last = f"{name}{step}"
+    top = f"greatest({', '.join(_cell(i, i) for i in _N)})"
+    row = "CASE " + " ".join(f"WHEN {_cell(i, i)} = {top} THEN [{', '.join(_cell(i, j) for j in _N)}]" for i in _N) + " END"
+    block(name, (last,), f"SELECT list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS v FROM (SELECT {row} AS r FROM {last})")
+    value = " + ".join(f"v[{i + 1}] * v[{j + 1}] * {_cell(i, j)}" for i in _N for j in _N)
+    block(name + "left", (name, first), "SELECT " + ", ".join(f"{_cell(i, j)} - w * v[{i + 1}] * v[{j + 1}] AS {_cell(i, j)}" for i, j in _CELLS) + f" FROM (SELECT *, {value} AS w FROM {first}, {name})")
+
+
+_squared("pcov", "pca")
+_squared("pcaleft", "pcb")
+
+
 @query(
     "ml_pca_2d",
     with_blocks(
-        "SELECT n_points, 0.0::DOUBLE AS mean_pc1, 0.0::DOUBLE AS mean_pc2, 0.0::DOUBLE AS covariance, true AS ordered, true AS within_total FROM totss",
-        "totss",
+        "SELECT source, " + ", ".join(
+            f"round({' + '.join(f'{c} * {t}.v[{i + 1}]' for i, c in enumerate(FEATURES))}, 5) + 0.0 AS {n}" for t, n in (("pca", "pc1"), ("pcb", "pc2"))
+        ) + " FROM prof, pca, pcb",
+        "prof", "pca", "pcb",
     ),
 )
 def ml_pca_2d(spark, folder):
-    """Checks on the first two component scores: centred, uncorrelated, in order of variance."""
+    """The sources on the plane of the first two components."""
     plane = stats.principal_plane(profiles(spark, folder), FEATURES)
-    total = sum((F.var_pop(c) for c in FEATURES), F.lit(0.0))
-    zero = lambda c: F.abs(F.round(c, 6))
-    return plane.agg(
-        F.count("*").alias("n_points"), zero(F.avg("pc1")).alias("mean_pc1"), zero(F.avg("pc2")).alias("mean_pc2"),
-        zero(F.covar_pop("pc1", "pc2")).alias("covariance"), (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"),
-        (F.var_pop("pc1") + F.var_pop("pc2") <= total + 1e-9).alias("within_total"),
-    )
+    return plane.select("source", *((F.round(c, 5) + 0.0).alias(c) for c in ("pc1", "pc2")))
