@@ -113,8 +113,9 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = S
     joined = near.join(first.select(F.col("fp").alias("u"), F.col("who").alias("p")), "u").join(first.select(F.col("fp").alias("v"), F.col("who").alias("q")), "v").select("p", "q")
     pairs = by_slice.union(by_print).union(joined).where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= FAR)
     pairs = materialize(pairs.select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary")))).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(distinct.select("node", "id"), "node")
+    # By node and id: of many copies only the one of the smallest id is read, and the others are spread over all tasks.
+    texts = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary")))).join(asked, ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
     sets = materialize(texts.select("node", "text").mapInArrow(_sets(words), "node binary, shingles binary"), "shingles")
     left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "su"), ("v", "sv")))
     links = pairs.join(left, "u").join(right, "v").mapInArrow(_similar(similarity), "u binary, v binary")
