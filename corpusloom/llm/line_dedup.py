@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import texts as X
 from corpusloom.session import materialize
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SPACE = X.byte_class((0x20, 0x20), (0x09, 0x0D))
 NO_ID = 2**63 - 1
 
@@ -30,7 +30,7 @@ def line_keys(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, n
     low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     some = np.flatnonzero(low < high)
     start, end = solid[low[some]], solid[high[some] - 1] + 1
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])
     long_ = points[end] - points[start] >= least
     some, start, size = some[long_], start[long_], (end - start)[long_]
     first = np.searchsorted(ends, begin)  # first line of each text

@@ -15,7 +15,7 @@ from corpusloom.llm import texts as X
 from corpusloom.llm.simhash import shingle_hashes
 from corpusloom.session import materialize
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: The model is fitted on at most this many labelled documents of either class, those with the smallest id hashes.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 #: Features kept at most; a kept one stands in so many toxic documents, in this part of them, and is so many times as frequent there.
