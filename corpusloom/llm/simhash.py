@@ -207,5 +207,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, text:
     linked = components(near_links(folded, radius))
     classes = linked.join(folded.withColumnRenamed("fp", "node"), "node").groupBy("component").agg(F.min("least").alias("class"))
     member = linked.join(classes, "component").select(F.col("node").alias("fp"), "class")
-    ids = folded.join(member, "fp", "left").select("fp", F.coalesce("class", "least").alias("component_id"))
+    # Stored, so that the join below is between two plain shuffles and a fingerprint of many copies can be split.
+    ids = materialize(folded.join(member, "fp", "left").select("fp", F.coalesce("class", "least").alias("component_id")), "classes")
     return prints.join(ids, "fp").select(doc, "fp", "component_id")
