@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import contrast, grouped, measures, sentiment, tokens
 from corpusloom.plans.registry import (
-    PIECE, READABILITY, SENTENCE, STOPPED, TAGGER, WORD, block, query, tag_sql, text_literal, with_blocks,
+    CONTEXT, FORMAL, PIECE, READABILITY, SENTENCE, SILENT, STOPPED, TAGGER, VOWELS, WORD, block, query, tag_sql, text_literal, with_blocks,
 )
 from corpusloom.session import materialize, scratch_path
 from corpusloom.sources import catalog
@@ -400,6 +402,56 @@ def sentiment_valence_shift(spark, folder):
     return scored.withColumn("sentiment", F.round("sentiment", DIGITS))
 
 
+# --- sentences with all their measures ------------------------------------------------
+
+block(
+    "ssyl", ("sword",),
+    f"SELECT sentence_id, word, greatest(1, len(regexp_extract_all(word, {VOWELS})) - CASE WHEN regexp_matches(word, {SILENT}) THEN 1 ELSE 0 END) AS s FROM sword",
+)
+block(
+    "scount", ("clean", "ssyl"),
+    "SELECT c.sentence_id, c.party, c.sentence, greatest(1, len(regexp_extract_all(c.sentence, '[.!?]+'))) AS n_sent, n_words, n_chars, n_syll, n_complex "
+    "FROM clean c JOIN (SELECT sentence_id, count(*) AS n_words, sum(length(word)) AS n_chars, sum(s) AS n_syll, count(*) FILTER (WHERE s >= 3) AS n_complex "
+    "FROM ssyl GROUP BY 1) w ON c.sentence_id = w.sentence_id",
+)
+block("svocab", ("sword",), "SELECT DISTINCT word FROM sword")
+block("svtag", ("svocab", *TAGGER), tag_sql("svocab", "word"))
+block(
+    "sformal", ("sword", "svtag"),
+    "SELECT sentence_id, 50.0::DOUBLE * ((f - c)::DOUBLE / (f + c)::DOUBLE + 1) AS F_measure FROM (SELECT t.sentence_id, "
+    f"sum(CASE WHEN v.upos IN {FORMAL} THEN 1 END) AS f, sum(CASE WHEN v.upos IN {CONTEXT} THEN 1 END) AS c "
+    "FROM sword t JOIN svtag v ON t.word = v.word GROUP BY t.sentence_id)",
+)
+
+
+@query(
+    "feat_sentence_style",
+    with_blocks(
+        "SELECT c.sentence_id, c.party, " + ", ".join(f"round({v}, 8) AS {k}" for k, v in READABILITY.items()) + ", round(F_measure, 8) AS F_measure, "
+        "CAST(len(string_split(c.sentence, ' ')) AS INTEGER) AS sentence_length, "
+        "round(list_avg(list_transform(string_split(c.sentence, ' '), lambda s: length(s))), 8) AS mean_word_length, "
+        "CAST(coalesce(a.s, 0) AS BIGINT) AS sentiment_score, round(coalesce(x.s, 0::DOUBLE) / sqrt(n_words), 8) AS sentiment_score2, "
+        "CAST(n_words AS INTEGER) AS word_count FROM scount c JOIN sformal f ON c.sentence_id = f.sentence_id "
+        "LEFT JOIN (SELECT sentence_id, sum(valence) AS s FROM sword JOIN valences USING (word) GROUP BY 1) a ON c.sentence_id = a.sentence_id "
+        "LEFT JOIN (SELECT sentence_id, sum(valence * (1 - 2 * neg) * (1 + 0.8::DOUBLE * (1 - neg) * amp + "
+        "greatest(-1.0::DOUBLE, -0.8::DOUBLE * (neg * amp + dea))) * (1 + 0.25::DOUBLE * adv)) AS s FROM snear WHERE valence IS NOT NULL "
+        "GROUP BY 1) x ON c.sentence_id = x.sentence_id WHERE F_measure IS NOT NULL",
+        "scount", "sformal", "sword", "valences", "snear",
+    ),
+)
+def feat_sentence_style(spark, folder):
+    """One row per sentence: readability, formality, lengths and both sentiment scores; incomplete sentences left out."""
+    sentences = materialize(corpus_sentences(spark, folder).select("sentence_id", "party", "sentence"), "sentences")
+    scores = measures.readability_scores()
+    base = measures.split_lengths(measures.readability_counts(sentences, "sentence").select("sentence_id", "party", "sentence", *[c.alias(n) for n, c in scores.items()]))
+    formal = measures.document_formality(sentences.withColumnRenamed("sentence", "text"), tagger(spark), ["sentence_id"]).select("sentence_id", "F_measure")
+    plain = sentiment.additive_score(sentences, lexicon(spark, "valences"), ["sentence_id"])
+    shifted = sentiment.shifted_score(sentences, lexicon(spark, "valences"), lexicon(spark, "shifters"), ["sentence_id"]).withColumnRenamed("sentiment", "sentiment_score2")
+    every = reduce(lambda a, b: a.join(b, "sentence_id"), (base, formal, plain, shifted))
+    complete = every.drop("sentence").na.drop().dropDuplicates(["sentence_id"])
+    return complete.withColumns({c: F.round(c, DIGITS) for c in (*scores, "F_measure", "mean_word_length", "sentiment_score2")})
+
+
 # --- contrasts ----------------------------------------------------------------------
 
 
