@@ -58,4 +58,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``stored``, once nothing reads it any more."""
+    path = getattr(stored, "_scratch_path", None)
+    if path:
+        spark = stored.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
