@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import discard, materialize
 
 
 def _state(links: DataFrame) -> tuple:
@@ -37,8 +37,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     now = materialize(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct(), "links")
     before = _state(now)
     while before[0]:
-        now = materialize(_small_star(_large_star(now)), "links")
+        last, now = now, materialize(_small_star(_large_star(now)), "links")
         after = _state(now)
+        discard(last)
         if after == before:
             break
         before = after
