@@ -135,7 +135,7 @@ SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN page_id < keeper THEN
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(read_table(spark, folder, "pages"), path)
-    return warc.page_facts(warc.captures(warc.read(spark, path)))
+    return warc.page_facts(warc.captures(warc.read(spark, path), payload=False))
 
 
 def _joined(spans):

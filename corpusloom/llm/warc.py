@@ -95,13 +95,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ).where("type IS NOT NULL")
 
 
-def captures(records: DataFrame) -> DataFrame:
+def captures(records: DataFrame, payload: bool = True) -> DataFrame:
     """One nested row per response or revisit record: (record_id, url, type, refers_to, response, request, metadata).
 
     ``response`` has the HTTP header, the payload, its bytes and digest; a revisit's payload is null, its bytes and digest are those
     that its headers give. ``request`` and ``metadata`` are the records whose concurrent-to identifier is the response's (or that the
     response names as concurrent); of several, the one with the smallest id. They are summed up per identifier before the join, so
     repeated records never multiply. A capture without them has nulls there; a request without a capture is left out.
+    Without ``payload`` the payloads are measured and digested where they are read, and do not move with the joins.
     """
     main = F.col("type").isin("response", "revisit")
     http = F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)
@@ -110,7 +111,7 @@ def captures(records: DataFrame) -> DataFrame:
     answers = answers.withColumn("payload", F.when(_field("Content-Transfer-Encoding", "http") == "base64", F.unbase64(F.col("sent").cast("string"))).otherwise(F.col("sent")))
     fresh = F.col("type") == "response"
     response = F.struct(
-        "http", F.when(fresh, F.col("payload")).alias("payload"),
+        "http", *([F.when(fresh, F.col("payload")).alias("payload")] if payload else []),
         F.when(fresh, F.octet_length("payload")).otherwise(_field("Content-Length", "http").cast("int")).cast("long").alias("payload_bytes"),
         F.when(fresh, base32_sha1(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"))
     head = answers.select("record_id", "url", "type", "refers_to", "concurrent_to", response.alias("response"))
