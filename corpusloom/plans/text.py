@@ -29,7 +29,7 @@ def tagger(spark: SparkSession) -> dict[str, DataFrame]:
     if not paths:
         for name, frame in tokens.train_tagger(lexicon(spark, "tagged_tokens")).items():
             path = scratch_path(spark, f"tagger-{name}")
-            frame.coalesce(1).write.parquet(path)
+            frame.write.parquet(path)
             paths[name] = path
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
