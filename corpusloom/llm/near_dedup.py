@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ SLICES = 16
 #: Pairs whose whole fingerprints differ in more bits are not compared: at a similarity of 0.8 the distance is 10 bits, with a
 #: deviation of 3.
 FAR = 21
+#: Groups of equal slices up to this size are compared pair by pair. Larger ones are first compared with their ends; what that does
+#: not connect is compared in tiles, cut from blocks of about so many members and shingles.
+SMALL_GROUP, TILE_ROWS, TILE_SHINGLES = 32, 2_000, 1 << 20
 
 
 def text_slices(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -47,9 +51,11 @@ def _sketch(words: int):
             hashes, sizes = shingle_hashes(rows, words)
             fp = majority(hashes, sizes).view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            names, parts, each = [], [], []
+            names, parts, each, n = [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
-                cut = text_slices(np.unique(hashes[a:b])) if b > a else [(0, hashes[:0])]
+                own = np.unique(hashes[a:b])
+                n.append(len(own))
+                cut = text_slices(own) if b > a else [(0, own)]
                 names += [n for n, _ in cut]
                 parts += [h for _, h in cut]
                 each.append(len(cut))
@@ -57,7 +63,7 @@ def _sketch(words: int):
             keys = X.mix(X.mix(prints ^ np.uint64(0xA5A5A5A5)) + np.array(names, dtype=np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
             node = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([node, shard.column("id"), pa.array(fp), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["node", "id", "fp", "slices"])
+            yield pa.RecordBatch.from_arrays([node, shard.column("id"), pa.array(fp), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["node", "id", "fp", "n", "slices"])
 
     return run
 
@@ -87,11 +93,80 @@ def _similar(similarity: float):
     return run
 
 
-def _star(rows: DataFrame, key: str) -> DataFrame:
-    """Candidate pairs inside each group of equal keys: each member with the first and the last, never all pairs."""
-    ends = rows.groupBy(key).agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a < b")
-    both = rows.join(ends, key)
-    return both.select("who", F.explode(F.array("a", "b")).alias("other")).where("who != other").select(F.greatest("who", "other").alias("p"), F.least("who", "other").alias("q"))
+def _group_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs (p, q) of groups: all pairs of those up to ``SMALL_GROUP``, in larger ones each member with the first and the last."""
+    small = members.where(F.col("members") <= SMALL_GROUP).groupBy("key").agg(F.sort_array(F.collect_list("who")).alias("m"))
+    each = small.select("m", F.posexplode("m").alias("at", "q")).select("q", F.explode(F.slice("m", F.col("at") + 2, F.size("m"))).alias("p"))
+    ends = members.where(F.col("members") > SMALL_GROUP).select("who", F.explode(F.array("first", "last")).alias("other")).where("who != other")
+    return each.select("p", "q").union(ends.select(F.greatest("who", "other").alias("p"), F.least("who", "other").alias("q")))
+
+
+def cross_links(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between sets of different labels, until each similar pair is linked or connected by way of others."""
+    _, label = np.unique(label, return_inverse=True)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    open_, waiting, out = np.ones(len(sets), dtype=bool), deque(range(len(sets))), []
+    has = np.zeros(len(values), dtype=bool)
+    while waiting and (label != label[0]).any():
+        x = waiting.popleft()
+        if not open_[x]:
+            continue
+        open_[x] = False
+        asked = open_ & (label != label[x]) & (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x]))
+        if not asked.any():
+            continue
+        own = flat[start[x] : start[x] + size[x]]
+        has[own] = True
+        common = np.add.reduceat(has[flat], start, dtype=np.int64)
+        has[own] = False
+        near = np.flatnonzero(asked & (common >= similarity * (size + size[x] - common)))
+        reached, first = np.unique(label[near], return_index=True)
+        out += [(x, y) for y in near[first].tolist()]
+        label[np.isin(label, reached)] = label[x]
+        waiting.extendleft(near.tolist())  # those reached are the likeliest to reach further
+    return out
+
+
+def _tiles(similarity: float):
+    """Rows sorted by tile: links between the classes of each tile."""
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = cross_links([r[2] for r in rows], np.array([r[1].hex() for r in rows]), similarity)
+        yield pa.RecordBatch.from_arrays([pa.array([rows[k[e]][0] for k in found], pa.binary()) for e in (0, 1)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows = None, []
+        for batch in batches:
+            for t, node, label, shingles in zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "label", "shingles"))):
+                if t != tile and rows:
+                    yield from links(rows)
+                    rows = []
+                tile = t
+                rows.append((node, label, np.frombuffer(shingles, dtype=np.uint32)))
+        if rows:
+            yield from links(rows)
+
+    return run
+
+
+def _links_left(big: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Links that the ends of the large groups did not show; none if each large group is in one class already.
+
+    Groups are cut into blocks of bounded size; each pair of blocks is a tile of its own, and only tiles of several classes are compared.
+    """
+    label = F.coalesce("component", "node").alias("label")
+    named = big.join(linked, "node", "left").select("key", "node", "blocks", label)
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
+    split = named.join(mixed, "key", "left_semi").select("key", "node", "label", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiled = materialize(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "label"), "tiles")
+    several = materialize(tiled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile"), "mixed-tiles")
+    if several.isEmpty():
+        return None
+    rows = tiled.join(several, "tile", "left_semi").join(sets, "node").select("tile", "node", "label", "shingles")
+    return rows.repartition(X.shuffle_width(big.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(similarity), "u binary, v binary")
 
 
 def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -99,27 +174,35 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = S
 
     Texts are linked at a similarity (Jaccard, distinct word shingles) of ``similarity`` or more. Candidates are texts whose
     fingerprints are within 3 bits (the grid), and texts with an equal SimHash of a slice of their shingles; the latter reach
-    similarities whose whole fingerprints lie too far apart for any grid. Every link is checked on the full shingle sets. Texts without words
+    similarities whose whole fingerprints lie too far apart for any grid. All pairs of a group of equal slices are compared unless
+    other links connect them. Every link is checked on the full shingle sets. Texts without words
     are all alike. Classes are chains of links.
     """
     rows = docs.select(X.id_key(doc).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    all_ = materialize(rows.mapInArrow(_sketch(words), "node binary, id long, fp long, slices array<long>"), "sketches")
-    distinct = materialize(all_.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("slices").alias("slices")), "distinct-texts")
-    who = F.struct("node", "fp").alias("who")
-    by_slice = _star(distinct.select(F.explode("slices").alias("slice"), who), "slice")
-    by_print = _star(distinct.select("fp", who), "fp")
-    first = distinct.groupBy("fp").agg(F.min(F.struct("node", "fp")).alias("who"))
+    all_ = materialize(rows.mapInArrow(_sketch(words), "node binary, id long, fp long, n int, slices array<long>"), "sketches")
+    distinct = materialize(all_.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "slices"))), "distinct-texts")
+    who = F.struct("node", "fp", "n").alias("who")
+    # Texts without words form a group of their own: their sets are equal, so its ends link all of it.
+    keyed = distinct.select(F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_append("slices", F.xxhash64("fp")))).alias("key"), who)
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("who.n").alias("shingles"), F.min("who").alias("first"), F.max("who").alias("last"))
+    members = materialize(keyed.join(groups.where("members > 1"), "key"), "groups")
+    blocks = F.greatest(F.ceil(F.col("members") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks")
+    big = members.where((F.col("members") > SMALL_GROUP) & (F.col("who.n") > 0)).select("key", "who.node", blocks)
+    first = distinct.groupBy("fp").agg(F.min(who).alias("who"))
     near = near_links(distinct.select("fp").distinct())
     joined = near.join(first.select(F.col("fp").alias("u"), F.col("who").alias("p")), "u").join(first.select(F.col("fp").alias("v"), F.col("who").alias("q")), "v").select("p", "q")
-    pairs = by_slice.union(by_print).union(joined).where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= FAR)
+    pairs = _group_pairs(members).union(joined).where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= FAR)
     pairs = materialize(pairs.select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(distinct.select("node", "id"), "node")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(big.select("node")).distinct().join(distinct.select("node", "id"), "node")
     # By node and id: of many copies only the one of the smallest id is read, and the others are spread over all tasks.
     texts = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary")))).join(asked, ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
     sets = materialize(texts.select("node", "text").mapInArrow(_sets(words), "node binary, shingles binary"), "shingles")
     left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "su"), ("v", "sv")))
-    links = pairs.join(left, "u").join(right, "v").mapInArrow(_similar(similarity), "u binary, v binary")
-    linked = components(links)
+    links = materialize(pairs.join(left, "u").join(right, "v").mapInArrow(_similar(similarity), "u binary, v binary"), "checked")
+    linked = materialize(components(links), "linked")
+    more = _links_left(big, linked, sets, similarity)
+    if more is not None:
+        linked = components(links.union(more))
     return distinct.select("node", "id").join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("class"))
 
 

@@ -229,6 +229,26 @@ def test_near_copies_of_the_documents(spark):
     assert kept == set(truth.values())
 
 
+def _spoilt(rng, base, changed):
+    """A text whose shingles differ from the base's in ``changed`` runs of five."""
+    out = list(base)
+    for at in rng.sample(range(1, len(base) // 10 - 1), changed):
+        out[at * 10] = f"x{rng.getrandbits(40)}"
+    return out
+
+
+@pytest.mark.parametrize("tile", [2_000, 40])
+def test_copies_that_only_the_original_joins(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE_ROWS", tile)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(304)]
+    texts = [base] + [_spoilt(rng, base, 5) for _ in range(200)]
+    sets = [brute.shingle_set(" ".join(t)) for t in texts]
+    assert all(brute.jaccard(sets[0], s) >= 0.8 for s in sets) and brute.jaccard(sets[1], sets[2]) < 0.8
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in near_dedup.keep_one(frame).collect()] == [0]
+
+
 # Token counts.
 
 
