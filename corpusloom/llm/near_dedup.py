@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import texts as X
@@ -21,6 +21,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: Slices fingerprinted of each text. At a similarity of 0.8 a slice is equal with a chance of 0.25 to 0.5, so 16 of them leave
 #: under one pair in a hundred without an equal slice.
 SLICES = 16
+#: Texts of up to so many distinct shingles have no slices: too few shingles fall in one. They are candidates by shared rare
+#: shingles (``_prefixes``), which loses no pair; so are the longer texts that one of them may be similar to.
+SHORT = 60
 #: Pairs whose whole fingerprints differ in more bits are not compared: at a similarity of 0.8 the distance is 10 bits, with a
 #: deviation of 3.
 FAR = 21
@@ -44,18 +47,21 @@ def text_slices(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def _sketch(words: int):
+def _sketch(words: int, similarity: float):
+    longest = int(SHORT / similarity + 1e-9)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in X.pieces(batches, "text", SHARD_BYTES):
             rows = X.raw_texts(shard, "text")
             hashes, sizes = shingle_hashes(rows, words)
             fp = majority(hashes, sizes).view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            names, parts, each, n = [], [], [], []
+            names, parts, each, n, short = [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = np.unique(hashes[a:b])
                 n.append(len(own))
-                cut = text_slices(own) if b > a else [(0, own)]
+                short.append(own.view(np.int64) if len(own) <= longest else [])
+                cut = text_slices(own) if len(own) > SHORT else []
                 names += [n for n, _ in cut]
                 parts += [h for _, h in cut]
                 each.append(len(cut))
@@ -63,7 +69,7 @@ def _sketch(words: int):
             keys = X.mix(X.mix(prints ^ np.uint64(0xA5A5A5A5)) + np.array(names, dtype=np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
             node = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([node, shard.column("id"), pa.array(fp), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], names=["node", "id", "fp", "n", "slices"])
+            yield pa.RecordBatch.from_arrays([node, shard.column("id"), pa.array(fp), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(short, pa.list_(pa.int64()))], names=["node", "id", "fp", "n", "slices", "short"])
 
     return run
 
@@ -93,6 +99,19 @@ def _similar(similarity: float):
     return run
 
 
+def _prefixes(distinct: DataFrame, who: Column, similarity: float) -> DataFrame:
+    """(key, who): the rarest shingles of each short text, so many that similar texts have one in common.
+
+    Similar texts of n shingles share at least ``similarity`` n, so at most n minus that many are not shared, and one more is enough,
+    whatever order both sets are put in; with the rarest first the groups are small.
+    """
+    each = distinct.select(who, F.explode("short").alias("shingle"))
+    counted = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle")
+    order = F.array_sort(F.collect_list(F.struct("texts", "shingle")))
+    enough = (F.col("who.n") - F.ceil(F.col("who.n") * similarity - 1e-9) + 1).cast("int")
+    return counted.groupBy("who").agg(order.alias("s")).select(F.explode(F.slice("s", 1, enough)).alias("s"), "who").where("s.texts > 1").select(F.xxhash64("s.shingle").alias("key"), "who")
+
+
 def _group_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs (p, q) of groups: all pairs of those up to ``SMALL_GROUP``, in larger ones each member with the first and the last."""
     small = members.where(F.col("members") <= SMALL_GROUP).groupBy("key").agg(F.sort_array(F.collect_list("who")).alias("m"))
@@ -174,16 +193,17 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = S
 
     Texts are linked at a similarity (Jaccard, distinct word shingles) of ``similarity`` or more. Candidates are texts whose
     fingerprints are within 3 bits (the grid), and texts with an equal SimHash of a slice of their shingles; the latter reach
-    similarities whose whole fingerprints lie too far apart for any grid. All pairs of a group of equal slices are compared unless
+    similarities whose whole fingerprints lie too far apart for any grid. Short texts with a rare shingle in common are candidates
+    without any estimate. All pairs of a group of equal slices or a common shingle are compared unless
     other links connect them. Every link is checked on the full shingle sets. Texts without words
     are all alike. Classes are chains of links.
     """
     rows = docs.select(X.id_key(doc).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    all_ = materialize(rows.mapInArrow(_sketch(words), "node binary, id long, fp long, n int, slices array<long>"), "sketches")
-    distinct = materialize(all_.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "slices"))), "distinct-texts")
+    all_ = materialize(rows.mapInArrow(_sketch(words, similarity), "node binary, id long, fp long, n int, slices array<long>, short array<long>"), "sketches")
+    distinct = materialize(all_.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "slices", "short"))), "distinct-texts")
     who = F.struct("node", "fp", "n").alias("who")
     # Texts without words form a group of their own: their sets are equal, so its ends link all of it.
-    keyed = distinct.select(F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_append("slices", F.xxhash64("fp")))).alias("key"), who)
+    keyed = distinct.select(F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_append("slices", F.xxhash64("fp")))).alias("key"), who).union(_prefixes(distinct, who, similarity))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("who.n").alias("shingles"), F.min("who").alias("first"), F.max("who").alias("last"))
     members = materialize(keyed.join(groups.where("members > 1"), "key"), "groups")
     blocks = F.greatest(F.ceil(F.col("members") / TILE_ROWS), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("int").alias("blocks")

@@ -249,6 +249,21 @@ def test_copies_that_only_the_original_joins(spark, monkeypatch, tile):
     assert [r.doc_id for r in near_dedup.keep_one(frame).collect()] == [0]
 
 
+def test_similar_short_texts(spark):
+    """Pairs at or just above 0.8, of 4 to 75 shingles, and pairs just below."""
+    rng = random.Random(10)
+    texts = []
+    for n in [*range(4, 61), 65, 70, 75] * 3:
+        base = [f"w{rng.getrandbits(40)}" for _ in range(n + 4)]
+        near, less = n // 9 if n >= 9 else 0, n // 9 + 1
+        texts += [base, base[: len(base) - near] + [f"x{rng.getrandbits(40)}" for _ in range(near)] if near else base + ["more"], base[less:] + [f"y{rng.getrandbits(40)}" for _ in range(less)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [brute.shingle_set(t) for _, t in rows]
+    truth = brute.classes(range(len(rows)), lambda a, b: a // 3 == b // 3 and brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(set(truth.values()))
+    assert len(rows) / 3 < len(set(truth.values())) < len(rows)
+
+
 # Token counts.
 
 
