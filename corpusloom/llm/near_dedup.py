@@ -24,9 +24,6 @@ SLICES = 16
 #: Texts of up to so many distinct shingles have no slices: too few shingles fall in one. They are candidates by shared rare
 #: shingles (``_prefixes``), which loses no pair; so are the longer texts that one of them may be similar to.
 SHORT = 60
-#: Pairs whose whole fingerprints differ in more bits are not compared: at a similarity of 0.8 the distance is 10 bits, with a
-#: deviation of 3.
-FAR = 21
 #: Groups of equal slices up to this size are compared pair by pair. Larger ones are first compared with their ends; what that does
 #: not connect is compared in tiles, cut from blocks of about so many members and shingles.
 SMALL_GROUP, TILE_ROWS, TILE_SHINGLES = 32, 2_000, 1 << 20
@@ -54,17 +51,19 @@ def _sketch(words: int, similarity: float):
         for shard in X.pieces(batches, "text", SHARD_BYTES):
             rows = X.raw_texts(shard, "text")
             hashes, sizes = shingle_hashes(rows, words)
-            fp = majority(hashes, sizes).view(np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
-            names, parts, each, n, short = [], [], [], [], []
+            names, parts, each, n, short, owns = [], [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 own = np.unique(hashes[a:b])
                 n.append(len(own))
+                owns.append(own)
                 short.append(own.view(np.int64) if len(own) <= longest else [])
                 cut = text_slices(own) if len(own) > SHORT else []
                 names += [n for n, _ in cut]
                 parts += [h for _, h in cut]
                 each.append(len(cut))
+            # Over distinct shingles, as the similarity: a passage repeated inside a text changes nothing.
+            fp = majority(np.concatenate(owns) if owns else hashes, np.array(n, dtype=np.int64)).view(np.int64)
             prints = majority(np.concatenate(parts), np.array([len(p) for p in parts])) if parts else np.zeros(0, dtype=np.uint64)
             keys = X.mix(X.mix(prints ^ np.uint64(0xA5A5A5A5)) + np.array(names, dtype=np.uint64)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
@@ -201,7 +200,7 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = S
     rows = docs.select(X.id_key(doc).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     all_ = materialize(rows.mapInArrow(_sketch(words, similarity), "node binary, id long, fp long, n int, slices array<long>, short array<long>"), "sketches")
     distinct = materialize(all_.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "slices", "short"))), "distinct-texts")
-    who = F.struct("node", "fp", "n").alias("who")
+    who = F.struct("node", "n").alias("who")
     # Texts without words form a group of their own: their sets are equal, so its ends link all of it.
     keyed = distinct.select(F.explode(F.when(F.col("n") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_append("slices", F.xxhash64("fp")))).alias("key"), who).union(_prefixes(distinct, who, similarity))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("who.n").alias("shingles"), F.min("who").alias("first"), F.max("who").alias("last"))
@@ -211,7 +210,9 @@ def near_copy_classes(docs: DataFrame, words: int = WORDS, similarity: float = S
     first = distinct.groupBy("fp").agg(F.min(who).alias("who"))
     near = near_links(distinct.select("fp").distinct())
     joined = near.join(first.select(F.col("fp").alias("u"), F.col("who").alias("p")), "u").join(first.select(F.col("fp").alias("v"), F.col("who").alias("q")), "v").select("p", "q")
-    pairs = _group_pairs(members).union(joined).where(F.bit_count(F.col("p.fp").bitwiseXOR(F.col("q.fp"))) <= FAR)
+    pairs = _group_pairs(members).union(joined)
+    # A set can be similar only to sets of nearly its size; no other pair is left out.
+    pairs = pairs.where(F.least("p.n", "q.n") >= similarity * F.greatest("p.n", "q.n"))
     pairs = materialize(pairs.select(F.col("p.node").alias("u"), F.col("q.node").alias("v")).distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(big.select("node")).distinct().join(distinct.select("node", "id"), "node")
     # By node and id: of many copies only the one of the smallest id is read, and the others are spread over all tasks.

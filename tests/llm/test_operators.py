@@ -264,6 +264,18 @@ def test_similar_short_texts(spark):
     assert len(rows) / 3 < len(set(truth.values())) < len(rows)
 
 
+def test_repeats_inside_a_text_change_nothing(spark):
+    rng = random.Random(12)
+    texts = []
+    for times in (20, 60, 200, 400) * 10:
+        base = [f"w{rng.getrandbits(40)}" for _ in range(204)]
+        texts += [base, base + base[100:110] * times]
+    sets = [brute.shingle_set(" ".join(t)) for t in texts]
+    assert all(brute.jaccard(a, b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.keep_one(frame).collect()) == list(range(0, len(texts), 2))
+
+
 # Token counts.
 
 
