@@ -115,7 +115,7 @@ def find(number: np.ndarray, first: np.ndarray, block: Phrases) -> tuple[np.ndar
 
 
 def shard_hits(texts: list[bytes], block: Phrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], np.ndarray, list[list[str]]]:
-    """Per text: words, merged byte spans of hit words, hit words, sorted item ids."""
+    """Per text: words, merged byte spans of hit words, hit words, sorted item ids, each once."""
     start, end, hashes, first = word_table(texts)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     at, phrase = find(block.numbers(hashes), first, block)
@@ -137,7 +137,7 @@ def shard_hits(texts: list[bytes], block: Phrases) -> tuple[np.ndarray, list[lis
         pair = np.unique((np.searchsorted(first, at, side="right") - 1) * len(block.items) + block.item[phrase])
         for p in pair.tolist():
             items[p // len(block.items)].append(block.items[p % len(block.items)])
-    return np.diff(first), places, total[first[1:]] - total[first[:-1]], items
+    return np.diff(first), places, total[first[1:]] - total[first[:-1]], [sorted(set(i)) for i in items]
 
 
 def _benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
@@ -166,7 +166,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     in blocks of bounded size and refused beyond ``BENCHMARK_BYTES``.
 
     A null or empty text has no words and no hits; a null item text has no phrase; repeated rows are kept; a null item id counts
-    as the empty string; columns of ``docs`` named like the added ones (``prefix`` is put before these) are replaced.
+    as the empty string; rows with one item id count as one item; columns of ``docs`` named like the added ones (``prefix`` is put before these) are replaced.
     """
     added = {f"{prefix}n_words": "bigint", f"{prefix}n_hit": "bigint", f"{prefix}hit_spans": HITS, f"{prefix}hit_items": "array<string>"}
     out = docs.drop(*added)
@@ -183,7 +183,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
                 places = [merge_spans(a + b) for a, b in zip(places, p)]
                 items = [sorted({*a, *b}) for a, b in zip(items, i)]
                 hits = np.array([words_inside(t, s) for t, s in zip(rows, places)], dtype=np.int64)
-            columns = [words, hits, [[{"start": a, "end": b} for a, b in p] for p in places], [sorted(i) for i in items]]
+            columns = [words, hits, [[{"start": a, "end": b} for a, b in p] for p in places], items]
             yield pa.RecordBatch.from_arrays(
                 [*shard.columns, *(pa.array(c, type=t) for c, (_, t) in zip(columns, arrow))], names=[*shard.schema.names, *(n for n, _ in arrow)])
 

@@ -69,6 +69,15 @@ def test_overlaps(spark, docs, monkeypatch, small):
     assert sum(r.n_hit > 0 for r in found) >= 6
 
 
+@pytest.mark.parametrize("block", [40, 4 << 20])
+def test_repeated_item_ids_count_once(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [("b", "one two three four five six seven"), ("b", "one two three four five six seven"), ("a", "red green blue white black grey pink"), ("a", "cold warm hot mild cool damp dry")]
+    frame = spark.createDataFrame([(1, ". ".join(t for _, t in items))], "doc_id long, text string")
+    found = decontaminate.find_overlaps(frame, spark.createDataFrame(items, "item_id string, text string"), window=5).collect()
+    assert [(r.n_words, r.n_hit, list(r.hit_items)) for r in found] == [(28, 28, ["a", "b"])]
+
+
 def test_cut_leaves_clean_rows_alone(spark, docs):
     long_ = brute.words(brute.awkward()[5][1])
     items = {1: " ".join(long_[20:60])}
