@@ -34,7 +34,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\(dot\)|\[dot\]| dot )[A-Za-z0-
 WIDTH = 1 << 14
 #: Documents on which the field is trained, at most.
 TRAINING_DOCS = 2_000
-STEPS, ROUNDS = 150, 12
+STEPS = 150
+#: Messages run until none of a document changes by more than this. Steps shrink after ``STEADY`` rounds, so that messages which
+#: swing come to rest too; ``ROUNDS`` is only a guard against a loop without end.
+TOLERANCE, STEADY, ROUNDS = 1e-4, 200, 20_000
 #: Log-potential of equal labels on a skip edge that the ridge pulls to; repeated mentions are rare in a training sample.
 AGREE = 6.0
 #: Probability from which a mention outside the base spans is added.
@@ -131,10 +134,11 @@ class Graph:
     left: np.ndarray
     right: np.ndarray
     skip: np.ndarray  # whether an edge joins similar mentions instead of neighbours
+    group: np.ndarray  # first mention of the document that is similar
 
 
 def graph(texts: list[str]) -> tuple[Graph, list[list[Span]]]:
-    place, features, base, left, right, skip, spans = [], [], [], [], [], [], []
+    place, features, base, left, right, skip, group, spans = [], [], [], [], [], [], [], []
     for doc, text in enumerate(texts):
         known = base_spans(text)
         spans.append(known)
@@ -151,6 +155,7 @@ def graph(texts: list[str]) -> tuple[Graph, list[list[Span]]]:
             key = similarity_key(text[start:end])
             similar = by_key.get(key)
             by_key[key] = node
+            group.append(node if similar is None else group[similar])
             for other, kind in ((last, False), (similar, True)):
                 if other is not None and (kind or other != similar):
                     left.append(other)
@@ -158,7 +163,7 @@ def graph(texts: list[str]) -> tuple[Graph, list[list[Span]]]:
                     skip.append(kind)
             last = node
     shape = np.array(features, dtype=np.int64).reshape(len(place), len(features[0]) if features else 1)
-    return Graph(place, shape, np.array(base, dtype=np.int64), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(skip, dtype=bool)), spans
+    return Graph(place, shape, np.array(base, dtype=np.int64), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(skip, dtype=bool), np.array(group, dtype=np.int64)), spans
 
 
 @dataclass
@@ -168,29 +173,58 @@ class Field:
     skip: np.ndarray
 
 
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    """Logarithm of the sums of exponentials over the second axis."""
+    top = rows.max(axis=1, keepdims=True)
+    return np.log(np.exp(rows - top).sum(axis=1)) + top[:, 0]
+
+
 def marginals(field: Field, g: Graph) -> np.ndarray:
-    """Label probabilities of all mentions by loopy message passing; observed ones are held fixed."""
-    own = field.node[g.features].sum(axis=1) if len(g.place) else np.zeros((0, LABELS))
+    """Label probabilities of all mentions by loopy message passing; observed ones are held fixed.
+
+    Similar mentions of a document share one hub, so that any two are two steps apart. Where some are observed, the hub has their
+    labels and is fixed, however many others there are; otherwise it is a variable without features.
+    """
+    size = len(g.place)
+    if not size:
+        return np.zeros((0, LABELS))
+    own = field.node[g.features].sum(axis=1)
     seen = np.flatnonzero(g.base)
+    counts = np.zeros((size, LABELS))
+    np.add.at(counts, (g.group[seen], g.base[seen]), 1)
+    fixed = counts.any(axis=1)
+    told = np.flatnonzero(fixed[g.group] & (g.base == 0))
+    if told.size:
+        hub = np.where(counts > 0, np.log(np.maximum(counts, 1)), -np.inf)[g.group[told]]
+        own[told] += _mixed(hub[:, :, None] + field.skip[None])
     own[seen] = -50.0
     own[seen, g.base[seen]] = 0.0
-    source, target = np.concatenate([g.left, g.right]), np.concatenate([g.right, g.left])
-    back = np.concatenate([np.arange(len(g.left)) + len(g.left), np.arange(len(g.left))])
-    tables = np.where(np.concatenate([g.skip, g.skip])[:, None, None], field.skip[None], field.chain[None])
+    free = np.flatnonzero((np.bincount(g.group, minlength=size)[g.group] > 1) & ~fixed[g.group])
+    hubs, hub = np.unique(g.group[free], return_inverse=True)
+    own = np.concatenate([own, np.zeros((len(hubs), LABELS))])
+    left, right = np.concatenate([g.left[~g.skip], free]), np.concatenate([g.right[~g.skip], size + hub])
+    skip = np.concatenate([np.zeros(len(left) - len(free), dtype=bool), np.ones(len(free), dtype=bool)])
+    source, target = np.concatenate([left, right]), np.concatenate([right, left])
+    back = np.concatenate([np.arange(len(left)) + len(left), np.arange(len(left))])
+    tables = np.where(np.concatenate([skip, skip])[:, None, None], field.skip[None], field.chain[None])
+    doc = np.array([p[0] for p in g.place], dtype=np.int64)[np.concatenate([left, left])]
     message = np.zeros((len(source), LABELS))
-    for _ in range(ROUNDS if len(source) else 0):
+    at = np.arange(len(source))  # edges of the documents whose messages still change
+    for turn in range(ROUNDS):
+        if not at.size:
+            break
         total = own.copy()
-        np.add.at(total, target, message)
-        open_ = (total[source] - message[back])[:, :, None] + tables
-        top = open_.max(axis=1, keepdims=True)
-        new = np.log(np.exp(open_ - top).sum(axis=1)) + top[:, 0]
+        np.add.at(total, target[at], message[at])
+        new = _mixed((total[source[at]] - message[back[at]])[:, :, None] + tables[at])
         new -= new.max(axis=1, keepdims=True)
-        if np.abs(new - message).max() < 1e-4:
-            break
-        message = 0.5 * message + 0.5 * new
+        worst = np.zeros(int(doc.max()) + 1)
+        np.maximum.at(worst, doc[at], np.abs(new - message[at]).max(axis=1))
+        step = 0.5 * min(1.0, STEADY / (turn + 1))
+        message[at] += step * (new - message[at])
+        at = at[worst[doc[at]] >= TOLERANCE]
     total = own.copy()
     np.add.at(total, target, message)
-    total = np.exp(total - total.max(axis=1, keepdims=True)) if len(total) else total
+    total = np.exp(total - total.max(axis=1, keepdims=True))[:size]
     return total / total.sum(axis=1, keepdims=True)
 
 
@@ -204,9 +238,9 @@ def fit(g: Graph) -> Field:
     if not len(g.place):
         return Field(node, chain, skip)
     used = np.ones(len(g.place), dtype=bool)
-    a, b = g.left[g.skip], g.right[g.skip]
-    used[a[(g.base[a] == 0) & (g.base[b] > 0)]] = False
-    used[b[(g.base[b] == 0) & (g.base[a] > 0)]] = False
+    known = np.zeros(len(g.place), dtype=bool)
+    known[g.group[g.base > 0]] = True
+    used[(g.base == 0) & known[g.group]] = False
     sums = {False: np.zeros((len(g.place), LABELS)), True: np.zeros((len(g.place), LABELS))}
     for kind, counts in sums.items():
         e = (g.skip == kind) & used[g.left] & used[g.right]
@@ -241,29 +275,31 @@ def train(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> Field:
         for shard in X.pieces(batches, "text", SHARD_BYTES):
             g, _ = graph([t.decode("utf-8", "replace") for t in X.raw_texts(shard, "text")])
             if len(g.place):
-                parts = (g.features.astype(np.int32), g.base.astype(np.int32), g.left.astype(np.int32), g.right.astype(np.int32), g.skip)
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["x", "y", "a", "b", "s"])
+                parts = (g.features.astype(np.int32), g.base.astype(np.int32), g.left.astype(np.int32), g.right.astype(np.int32), g.skip, g.group.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["x", "y", "a", "b", "s", "g"])
 
-    found = sample.join(ids, "id", "left_semi").select("text").mapInArrow(lines, "x binary, y binary, a binary, b binary, s binary").toArrow().to_pylist()
+    found = sample.join(ids, "id", "left_semi").select("text").mapInArrow(lines, "x binary, y binary, a binary, b binary, s binary, g binary").toArrow().to_pylist()
     found.sort(key=lambda r: r["x"])
-    x, y, a, b, s, n = [], [], [], [], [], 0
+    x, y, a, b, s, same, n = [], [], [], [], [], [], 0
     for r in found:
         y.append(np.frombuffer(r["y"], dtype=np.int32).astype(np.int64))
         x.append(np.frombuffer(r["x"], dtype=np.int32).reshape(len(y[-1]), -1).astype(np.int64))
         a.append(np.frombuffer(r["a"], dtype=np.int32).astype(np.int64) + n)
         b.append(np.frombuffer(r["b"], dtype=np.int32).astype(np.int64) + n)
         s.append(np.frombuffer(r["s"], dtype=bool))
+        same.append(np.frombuffer(r["g"], dtype=np.int32).astype(np.int64) + n)
         n += len(y[-1])
     if not n:
         return fit(graph([])[0])
-    return fit(Graph([(0, 0, 0)] * n, *(np.concatenate(v) for v in (x, y, a, b, s))))
+    return fit(Graph([(0, 0, 0)] * n, *(np.concatenate(v) for v in (x, y, a, b, s, same))))
 
 
 def find_personal_data(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with ``pii`` (array of kind, start, end, base; code points, end exclusive; by kind, then start) added.
 
     Base spans stay. Further mentions of numbers and mail addresses are labelled by the field: neighbouring mentions share chain potentials,
-    similar ones anywhere in the document share skip potentials, and messages run over all mentions of a shard at once. A mention
+    similar ones anywhere in the document share a hub by skip potentials, and messages run over all mentions of a shard at once, for
+    each document until they rest. A mention
     outside the base spans is added where its label is sure.
 
     Each whole text is read in one task; nothing is shuffled. A null or empty text has none; repeated rows are kept; a column named

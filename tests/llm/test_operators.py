@@ -161,6 +161,20 @@ def test_personal_data(spark):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def _kept_number(repeats):
+    """A text whose first number is a base phone, with ``repeats`` of its digits in a form that no base pattern knows."""
+    return "call +49 151 2345678 now. " + " ".join(f"Item {k}: write to 0049 151 2345678 again." for k in range(repeats))
+
+
+@pytest.mark.parametrize("repeats", [1, 20, 500])
+def test_every_repeat_is_labelled(repeats):
+    field = pii.fit(pii.graph([_kept_number(1), "a +49 30 1234567 b", "code 12345678 end", "mail a.b@c.de or 4111 1111 1111 1111"] * 10)[0])
+    g, _ = pii.graph([_kept_number(repeats), "code 12345678 end"])
+    chance = pii.marginals(field, g)
+    phone = 1 + pii.KINDS.index("phone")
+    assert len(chance) == repeats + 2 and (chance[: repeats + 1, phone] >= pii.SURE).all() and chance[-1, 0] > 0.5
+
+
 # Vector search.
 
 
