@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
+from corpusloom.llm import decontaminate, line_dedup, merkle, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
 from corpusloom.llm.texts import read_table
 from corpusloom.session import scratch_path
 
@@ -161,3 +161,44 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_personal_data(docs, pii.train(docs)).withColumn("first", F.filter("pii", lambda s: s["base"]))
     return found.select(
         "doc_id", *(_count("first", k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(_joined(F.col("first")), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
+_FIELDS = ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {_CRC_BYTE}), 4294967295)"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels over (grp, idx, h), then each leaf's siblings as ``left|right`` from its level up."""
+    return f"""
+{name}n AS MATERIALIZED (WITH RECURSIVE nodes(grp, lev, idx, h, n) AS (SELECT grp, 0, idx, h, count(*) OVER (PARTITION BY grp) FROM {leaves}
+  UNION ALL SELECT grp, lev + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY grp, lev, idx // 3) SELECT * FROM nodes),
+{name}s AS (SELECT a.grp, a.lev, a.idx, concat(coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), ''), '|',
+  coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '')) AS side
+  FROM {name}n a JOIN {name}n b ON a.grp IS NOT DISTINCT FROM b.grp AND a.lev = b.lev AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY a.grp, a.lev, a.idx),
+{name}p AS MATERIALIZED (SELECT l.grp, l.idx, coalesce(list(s.side ORDER BY s.lev) FILTER (WHERE s.side IS NOT NULL), []) AS path FROM {leaves} l LEFT JOIN {name}s s
+  ON l.grp IS NOT DISTINCT FROM s.grp AND l.idx // CAST(pow(3, s.lev) AS BIGINT) = s.idx GROUP BY l.grp, l.idx)"""
+
+
+OP11_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, source AS grp, sha256(concat({_FIELDS.format(text="text")})) AS h,
+  CASE WHEN {_CRC} % 2 = 0 THEN sha256(concat({_FIELDS.format(text="replace(text, chr(10), '')")})) END AS found FROM documents),
+x AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS idx FROM d),
+{_tree_sql("g", "x")},
+y AS MATERIALIZED (SELECT 0 AS grp, grp AS name, h, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS idx FROM gn WHERE n = 1),
+{_tree_sql("t", "y")},
+w AS MATERIALIZED (SELECT x.doc_id, x.h AS leaf, coalesce(x.found, x.h) AS begun, y.h AS subroot, (SELECT h FROM tn WHERE n = 1) AS root, list_concat(gp.path, tp.path) AS path
+  FROM x JOIN gp ON x.grp IS NOT DISTINCT FROM gp.grp AND x.idx = gp.idx JOIN y ON x.grp IS NOT DISTINCT FROM y.name JOIN tp ON y.idx = tp.idx),
+f AS (SELECT *, list_reduce(list_prepend(begun, path), lambda a, s: sha256(concat(split_part(s, '|', 1), a, split_part(s, '|', 2)))) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    later = merkle.row_digest([*columns[:-1], F.replace("text", F.lit("\n"), F.lit(""))])
+    proven = merkle.manifest(docs, columns, "source", "doc_id", F.when(chosen & F.contains("text", F.lit("\n")), later))
+    return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
