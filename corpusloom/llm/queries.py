@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, line_dedup, merkle, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
+from corpusloom.llm import cover_tree, decontaminate, line_dedup, merkle, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
 from corpusloom.llm.texts import read_table
 from corpusloom.session import scratch_path
 
@@ -202,3 +202,25 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     later = merkle.row_digest([*columns[:-1], F.replace("text", F.lit("\n"), F.lit(""))])
     proven = merkle.manifest(docs, columns, "source", "doc_id", F.when(chosen & F.contains("text", F.lit("\n")), later))
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+OP12_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT q.vec_id AS anchor_id, r.vec_id, q.label = r.label AS same, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(r.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score) WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    table = read_table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vector_search.whole_numbers(table.withColumn("label", label), "embedding")
+    return cover_tree.hard_negatives(rows, F.col("vec_id") % 100 == 0)
