@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import cover_tree, decontaminate, line_dedup, merkle, pieces, pii, secrets, simhash, token_counts, toxicity, vector_search, warc
+from corpusloom.llm import cover_tree, decontaminate, line_dedup, merkle, pieces, pii, recurrent_lm, secrets, simhash, token_counts, toxicity, vector_search, warc
 from corpusloom.llm.texts import read_table
 from corpusloom.session import scratch_path
 
@@ -224,3 +224,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = vector_search.whole_numbers(table.withColumn("label", label), "embedding")
     return cover_tree.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_recurrent_lm")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return recurrent_lm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
