@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Steps of a window, documents side by side, and words of documents taken together at most.
-STEPS, LANES, MOST_TOKENS = 24, 256, 4 << 20
+STEPS, LANES, MOST_TOKENS = 48, 128, 4 << 20
 #: Adam's step size and decay rates, the longest gradient, and how far input weights start from zero.
 RATE, FIRST, SECOND, LONGEST, SPREAD = 0.01, 0.9, 0.99, 5.0, 0.1
 
@@ -39,11 +39,13 @@ class Layout:
 
 
 def _shares(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each row, and the logarithm of its divisor (shifted back)."""
-    most = scores.max(axis=1, keepdims=True)
-    np.exp(scores - most, out=(part := np.empty_like(scores)))
-    total = part.sum(axis=1, keepdims=True)
-    return part / total, (np.log(total) + most)[:, 0]
+    """Softmax of each column, and the logarithm of its divisor. Reductions run down the rows, whole vectors at a time."""
+    most = scores.max(axis=0)
+    part = np.subtract(scores, most)
+    np.exp(part, out=part)
+    total = part.sum(axis=0)
+    part /= total
+    return part, np.log(total) + most
 
 
 def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool):
@@ -68,55 +70,71 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
         np.subtract(states[t], new, out=states[t + 1])
         states[t + 1] *= g[:, :h]
         states[t + 1] += new
-    flat, target = states[1:][live], y[live]
-    kind = lay.class_of[target]
-    share, divisor = _shares(flat @ w["class"] + w["class_bias"])
-    at = np.arange(len(target))
-    logs = (flat * w["class"].T[kind]).sum(axis=1) + w["class_bias"][kind] - divisor
+    full = bool(live.all())
+    flat, target = (states[1:].reshape(-1, h), y.ravel()) if full else (states[1:][live], y[live])
+    kind, at = lay.class_of[target], np.arange(len(target))
+    scores = w["class"].T @ flat.T
+    scores += w["class_bias"][:, None]
+    share, divisor = _shares(scores)
+    logs = scores[kind, at] - divisor
     order = np.flatnonzero(target < lay.words)
     order = order[np.argsort(kind[order], kind="stable")]
     cuts = np.searchsorted(kind[order], np.arange(len(lay.starts)))
     grad, back = None, None
     if learn:
-        share[at, kind] -= 1
-        back = share @ w["class"].T
+        share[kind, at] -= 1
+        back = share.T @ w["class"].T
         grad = {k: np.zeros_like(v) for k, v in w.items() if k in ("input", "word", "word_bias")}
-        grad |= {"class": flat.T @ share, "class_bias": share.sum(axis=0)}
+        grad |= {"class": (share @ flat).T, "class_bias": share.sum(axis=1)}
     for c in np.flatnonzero(np.diff(cuts)):
         low, high = lay.starts[c], lay.starts[c + 1]
         if high - low == 1:
             continue
         rows = order[cuts[c] : cuts[c + 1]]
         f, t = flat[rows], target[rows] - low
-        part, total = _shares(f @ w["word"][low:high].T + w["word_bias"][low:high])
-        logs[rows] += np.log(part[np.arange(len(rows)), t])
+        near = w["word"][low:high] @ f.T
+        near += w["word_bias"][low:high, None]
+        part, divisor = _shares(near)
+        here = np.arange(len(rows))
+        logs[rows] += near[t, here] - divisor
         if learn:
-            part[np.arange(len(rows)), t] -= 1
-            back[rows] += part @ w["word"][low:high]
-            grad["word"][low:high] += part.T @ f
-            grad["word_bias"][low:high] += part.sum(axis=0)
+            part[t, here] -= 1
+            back[rows] += part.T @ w["word"][low:high]
+            grad["word"][low:high] += part @ f
+            grad["word_bias"][low:high] += part.sum(axis=1)
     out = np.zeros(x.shape)
     out[live] = logs
     if not learn:
         return out, states[-1], None
-    deltas = np.zeros((steps, lanes, h), dtype=np.float32)
-    deltas[live] = back
-    into, later = np.empty_like(given), np.zeros((lanes, h), dtype=np.float32)
-    grad["state"] = np.zeros_like(w["state"])
+    deltas = back.reshape(steps, lanes, h) if full else np.zeros((steps, lanes, h), dtype=np.float32)
+    if not full:
+        deltas[live] = back
+    # What does not depend on later steps, for all steps at once: how far each gate passes a change of the state on.
+    z, r = gates[:, :, :h], gates[:, :, h:]
+    keep = 1 - z
+    to_new = 1 - news * news
+    to_new *= keep
+    to_z = states[:-1] - news
+    to_z *= z
+    to_z *= keep
+    to_r = 1 - r
+    to_r *= r
+    to_r *= pulls
+    into, inner, later = np.empty_like(given), np.empty_like(given), np.zeros((lanes, h), dtype=w["state"].dtype)
+    across = np.ascontiguousarray(w["state"].T)
     for t in range(steps - 1, -1, -1):
-        d = deltas[t] + later
-        z, r, new = gates[t, :, :h], gates[t, :, h:], news[t]
-        d_new = d * (1 - z) * (1 - new * new)
-        into[t, :, :h] = d * (states[t] - new) * z * (1 - z)
-        into[t, :, h : 2 * h] = d_new * pulls[t] * r * (1 - r)
-        into[t, :, 2 * h :] = d_new
-        inner = into[t].copy()
-        inner[:, 2 * h :] *= r
-        grad["state"] += states[t].T @ inner
-        later = d * z + inner @ w["state"].T
-    seen = x.ravel()
+        later += deltas[t]
+        new = np.multiply(later, to_new[t], out=into[t, :, 2 * h :])
+        np.multiply(later, to_z[t], out=into[t, :, :h])
+        np.multiply(new, to_r[t], out=into[t, :, h : 2 * h])
+        inner[t, :, : 2 * h] = into[t, :, : 2 * h]
+        np.multiply(new, r[t], out=inner[t, :, 2 * h :])
+        later *= z[t]
+        later += inner[t] @ across
+    grad["state"] = states[:-1].reshape(-1, h).T @ inner.reshape(-1, 3 * h)
+    seen = x.ravel().astype(np.uint16)  # small numbers sort fast
     order = np.argsort(seen, kind="stable")
-    first = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    first = np.flatnonzero(np.diff(seen[order].astype(np.int64), prepend=-1))
     grad["input"][seen[order][first]] = np.add.reduceat(into.reshape(-1, 3 * h)[order], first, axis=0)
     return out, states[-1], grad
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import gru
 from corpusloom.llm import texts as X
-from corpusloom.session import materialize
+from corpusloom.session import materialize, scratch_path
 
 SHARD_BYTES = 4 << 20
 #: Size of the model: words with weights of their own, their classes, classes of the other words, units of the state.
@@ -217,7 +217,7 @@ def train(dealt: DataFrame, counts: Counts) -> gru.Weights:
     weights = counts.layout.begin(counts.by_id)
     width = X.shuffle_width(dealt.sparkSession)
     for r in range(ROUNDS):
-        part = dealt.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == r)).select("ids").coalesce(width)
+        part = dealt.where(~F.col("held_out") & (F.col("round") == r)).select("ids").coalesce(width)
         moved = part.mapInArrow(_learn(counts.layout, weights), "slot int, task int, tokens long, part binary")
         slots = moved.repartition("slot").sortWithinPartitions("slot", "task").mapInArrow(_average, "slot int, part binary").collect()
         if not slots:
@@ -240,7 +240,10 @@ def _score(layout: gru.Layout, weights: gru.Weights):
 
 
 def _deal(encoded: DataFrame) -> DataFrame:
-    """Documents in groups of like length and about ``GROUP_TOKENS`` tokens, a partition each, so that those side by side end together."""
+    """Documents in groups of like length and about ``GROUP_TOKENS`` tokens, a file each, so that those side by side end together.
+
+    Each group belongs to one round of training, whose files lie together.
+    """
     length = F.floor(F.log2("n_tokens")).cast("int")
     totals = encoded.groupBy(length.alias("length")).agg(F.sum("n_tokens").alias("tokens")).orderBy("length").collect()
     group, first = F.lit(0), 0
@@ -248,8 +251,10 @@ def _deal(encoded: DataFrame) -> DataFrame:
         parts = -(-row["tokens"] // GROUP_TOKENS)
         group = F.when(length == row["length"], first + F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).otherwise(group)
         first += parts
-    dealt = encoded.select("row", "held_out", "n_tokens", "ids").repartitionById(max(1, first), group).sortWithinPartitions("n_tokens", "row")
-    return materialize(dealt.select("row", "held_out", "ids"), "dealt")
+    dealt = encoded.select("row", "held_out", "n_tokens", "ids", group.alias("group")).repartitionById(max(1, first), F.col("group")).sortWithinPartitions("n_tokens", "row")
+    path = scratch_path(encoded.sparkSession, "dealt")
+    dealt.select("row", "held_out", "ids", (F.col("group") % ROUNDS).alias("round")).write.partitionBy("round").parquet(path)
+    return encoded.sparkSession.read.schema("row long, held_out boolean, ids binary, round int").parquet(path)
 
 
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
