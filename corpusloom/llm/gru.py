@@ -33,7 +33,8 @@ class Layout:
         rng, h, mass = np.random.default_rng(seed), self.hidden, counts + 0.5
         by_class = np.bincount(self.class_of, weights=mass, minlength=self.classes)
         return {k: v.astype(np.float32) for k, v in {
-            "input": rng.normal(0, SPREAD, (self.words + self.rare, 3 * h)), "state": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
+            "input": rng.normal(0, SPREAD, (self.words + self.rare, h)), "gate": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)), "gate_bias": np.zeros(3 * h),
+            "state": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
             "class": np.zeros((h, self.classes)), "class_bias": np.log(by_class / by_class.sum()), "word": np.zeros((self.words, h)), "word_bias": np.log(mass[: self.words]),
         }.items()}
 
@@ -51,25 +52,29 @@ def _shares(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool):
     """One window: ``x`` before ``y``, steps by lanes. Returns natural logarithms (0 where not ``live``), the last state and gradients."""
     h, (steps, lanes) = lay.hidden, x.shape
-    given = w["input"][x]
-    states = np.empty((steps + 1, lanes, h), dtype=np.float32)
+    entry = w["input"] @ w["gate"] + w["gate_bias"]  # what each id gives to the gates
+    states = np.empty((steps + 1, lanes, h), dtype=w["state"].dtype)
     states[0] = state
-    gates, news, pulls = (np.empty((steps, lanes, k), dtype=np.float32) for k in (2 * h, h, h))
+    kept = steps if learn else 1  # what only the way back reads is written over when there is none
+    gates, news, pulls = (np.empty((kept, lanes, k), dtype=states.dtype) for k in (2 * h, h, h))
+    given, a = (np.empty((lanes, 3 * h), dtype=states.dtype) for _ in range(2))
     for t in range(steps):
-        a = states[t] @ w["state"]
-        g = gates[t]
-        np.add(given[t, :, : 2 * h], a[:, : 2 * h], out=g)
+        at = t if learn else 0
+        np.take(entry, x[t], axis=0, out=given)
+        np.matmul(states[t], w["state"], out=a)
+        g = np.add(given[:, : 2 * h], a[:, : 2 * h], out=gates[at])
         np.negative(g, out=g)
         np.exp(g, out=g)
         g += 1
         np.reciprocal(g, out=g)
-        pulls[t] = a[:, 2 * h :]
-        new = np.multiply(g[:, h:], a[:, 2 * h :], out=news[t])
-        new += given[t, :, 2 * h :]
+        if learn:
+            pulls[t] = a[:, 2 * h :]
+        new = np.multiply(g[:, h:], a[:, 2 * h :], out=news[at])
+        new += given[:, 2 * h :]
         np.tanh(new, out=new)
-        np.subtract(states[t], new, out=states[t + 1])
-        states[t + 1] *= g[:, :h]
-        states[t + 1] += new
+        next_ = np.subtract(states[t], new, out=states[t + 1])
+        next_ *= g[:, :h]
+        next_ += new
     full = bool(live.all())
     flat, target = (states[1:].reshape(-1, h), y.ravel()) if full else (states[1:][live], y[live])
     kind, at = lay.class_of[target], np.arange(len(target))
@@ -86,22 +91,27 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
         back = share.T @ w["class"].T
         grad = {k: np.zeros_like(v) for k, v in w.items() if k in ("input", "word", "word_bias")}
         grad |= {"class": (share @ flat).T, "class_bias": share.sum(axis=1)}
+    flats, targets, more = flat[order], target[order], np.zeros(len(order), dtype=states.dtype)
+    backs = np.zeros_like(flats) if learn else None
     for c in np.flatnonzero(np.diff(cuts)):
         low, high = lay.starts[c], lay.starts[c + 1]
         if high - low == 1:
             continue
-        rows = order[cuts[c] : cuts[c + 1]]
-        f, t = flat[rows], target[rows] - low
-        near = w["word"][low:high] @ f.T
+        rows = slice(cuts[c], cuts[c + 1])
+        f, t, word = flats[rows], targets[rows] - low, w["word"][low:high]
+        near = word @ f.T
         near += w["word_bias"][low:high, None]
         part, divisor = _shares(near)
-        here = np.arange(len(rows))
-        logs[rows] += near[t, here] - divisor
+        here = np.arange(len(t))
+        more[rows] = near[t, here] - divisor
         if learn:
             part[t, here] -= 1
-            back[rows] += part.T @ w["word"][low:high]
-            grad["word"][low:high] += part @ f
-            grad["word_bias"][low:high] += part.sum(axis=1)
+            np.matmul(part.T, word, out=backs[rows])
+            np.matmul(part, f, out=grad["word"][low:high])
+            grad["word_bias"][low:high] = part.sum(axis=1)
+    logs[order] += more
+    if learn:
+        back[order] += backs
     out = np.zeros(x.shape)
     out[live] = logs
     if not learn:
@@ -120,30 +130,38 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
     to_r = 1 - r
     to_r *= r
     to_r *= pulls
-    into, inner, later = np.empty_like(given), np.empty_like(given), np.zeros((lanes, h), dtype=w["state"].dtype)
-    across = np.ascontiguousarray(w["state"].T)
+    by_z, by_r, by_new = (np.empty((steps, lanes, h), dtype=states.dtype) for _ in range(3))
+    later, step, pulled = (np.zeros((lanes, h), dtype=states.dtype) for _ in range(3))
+    across_z, across_r, across_new = (np.ascontiguousarray(w["state"][:, k * h : (k + 1) * h].T) for k in range(3))
+    pull = np.ascontiguousarray(r)
+    hold = np.ascontiguousarray(z)
     for t in range(steps - 1, -1, -1):
         later += deltas[t]
-        new = np.multiply(later, to_new[t], out=into[t, :, 2 * h :])
-        np.multiply(later, to_z[t], out=into[t, :, :h])
-        np.multiply(new, to_r[t], out=into[t, :, h : 2 * h])
-        inner[t, :, : 2 * h] = into[t, :, : 2 * h]
-        np.multiply(new, r[t], out=inner[t, :, 2 * h :])
-        later *= z[t]
-        later += inner[t] @ across
-    grad["state"] = states[:-1].reshape(-1, h).T @ inner.reshape(-1, 3 * h)
+        np.multiply(later, to_z[t], out=by_z[t])
+        new = np.multiply(later, to_new[t], out=by_new[t])
+        np.multiply(new, to_r[t], out=by_r[t])
+        np.multiply(new, pull[t], out=pulled)
+        later *= hold[t]
+        for d, across in ((by_z[t], across_z), (by_r[t], across_r), (pulled, across_new)):
+            later += np.matmul(d, across, out=step)
+    before = states[:-1].reshape(-1, h).T
+    flat_z, flat_r, flat_new = (d.reshape(-1, h) for d in (by_z, by_r, by_new))
+    grad["state"] = np.concatenate([before @ flat_z, before @ flat_r, before @ (flat_new * pull.reshape(-1, h))], axis=1)
+    into = np.concatenate([flat_z, flat_r, flat_new], axis=1)
     seen = x.ravel().astype(np.uint16)  # small numbers sort fast
     order = np.argsort(seen, kind="stable")
     first = np.flatnonzero(np.diff(seen[order].astype(np.int64), prepend=-1))
-    grad["input"][seen[order][first]] = np.add.reduceat(into.reshape(-1, 3 * h)[order], first, axis=0)
+    grad["gate"], grad["gate_bias"] = w["input"][seen].T @ into, into.sum(axis=0)
+    grad["input"][seen[order][first]] = np.add.reduceat((into @ w["gate"].T)[order], first, axis=0)
     return out, states[-1], grad
 
 
 def documents(texts: list[np.ndarray]) -> Iterator[list[int]]:
-    """Places of documents to lie side by side: the longest first, so that all of a group end at about the same step."""
-    order, held, size = sorted(range(len(texts)), key=lambda i: -len(texts[i])), [], 0
+    """Places of documents to lie side by side, about ``LANES``, the longest first, so that all of a group end at about the same step."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    most, held, size = -(-len(order) // max(1, round(len(order) / LANES))), [], 0
     for i in order:
-        if held and (len(held) == LANES or size + len(texts[i]) > MOST_TOKENS):
+        if held and (len(held) == most or size + len(texts[i]) > MOST_TOKENS):
             yield held
             held, size = [], 0
         held.append(i)
@@ -194,6 +212,14 @@ class Optimizer:
         for k, g in grad.items():
             g *= scale
             m, s = self.mean[k], self.square[k]
-            m += (1 - FIRST) * (g - m)
-            s += (1 - SECOND) * (g * g - s)
-            w[k] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+            m *= FIRST
+            m += (1 - FIRST) * g
+            s *= SECOND
+            g *= g
+            g *= 1 - SECOND
+            s += g
+            np.sqrt(s, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate
+            w[k] -= g
