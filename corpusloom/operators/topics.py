@@ -119,19 +119,28 @@ def _average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     return counted.select("topic", value, (middle / F.col("__one_all")).alias(out))
 
 
+def _ranked_values(beta: DataFrame) -> DataFrame:
+    """Stored ``beta`` with the rounded exclusivity and frequency that ranks go by."""
+    shared = attach(beta, ["term"], F.sum("beta").alias("__all"))
+    scored = shared.withColumns({"__ex": F.round(F.col("beta") / F.col("__all"), 12), "__fr": F.round("beta", 15)}).drop("__all")
+    return materialize(scored, "frex")
+
+
+def _with_frex(rows: DataFrame, stored: DataFrame, weight: float) -> DataFrame:
+    """Adds ``frex`` to some rows of a stored table; ranks are over the whole of it."""
+    ranked = rows.join(_average_ranks(stored, "__ex", "__rx"), ["topic", "__ex"]).join(_average_ranks(stored, "__fr", "__rf"), ["topic", "__fr"])
+    score = 1.0 / (weight / F.col("__rx") + (1.0 - weight) / F.col("__rf"))
+    return ranked.withColumn("frex", score).drop("__ex", "__fr", "__rx", "__rf")
+
+
 def frex(beta: DataFrame, weight: float) -> DataFrame:
     """Adds ``frex``: harmonic mean of frequency and exclusivity ranks.
 
     The scored table (one row per topic and term) is stored, because both
     ranks and the result read it.
     """
-    shared = attach(beta, ["term"], F.sum("beta").alias("__all"))
-    scored = shared.withColumns({"__ex": F.round(F.col("beta") / F.col("__all"), 12), "__fr": F.round("beta", 15)}).drop("__all")
-    stored = materialize(scored, "frex")
-    ranked = stored.join(_average_ranks(stored, "__ex", "__rx"), ["topic", "__ex"])
-    ranked = ranked.join(_average_ranks(stored, "__fr", "__rf"), ["topic", "__fr"])
-    score = 1.0 / (weight / F.col("__rx") + (1.0 - weight) / F.col("__rf"))
-    return ranked.withColumn("frex", score).drop("__ex", "__fr", "__rx", "__rf")
+    stored = _ranked_values(beta)
+    return _with_frex(stored, stored, weight)
 
 
 def _likeliest(beta: DataFrame, n: int) -> DataFrame:
@@ -141,8 +150,13 @@ def _likeliest(beta: DataFrame, n: int) -> DataFrame:
 
 
 def exclusivity(beta: DataFrame, n: int = 10, weight: float = 0.7) -> DataFrame:
-    """Sum of frex over the n likeliest terms of each topic."""
-    return _likeliest(frex(beta, weight), n).groupBy("topic").agg(F.sum("frex").alias("exclusivity"))
+    """Sum of frex over the n likeliest terms of each topic.
+
+    Only those terms' rows meet the ranks, so a value that most words of a topic share is no hot key.
+    """
+    stored = _ranked_values(beta)
+    top = _likeliest(stored, n).drop("place")
+    return _with_frex(top, stored, weight).groupBy("topic").agg(F.sum("frex").alias("exclusivity"))
 
 
 def coherence(beta: DataFrame, counts: DataFrame, n: int = 10) -> DataFrame:

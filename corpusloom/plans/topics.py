@@ -1,8 +1,9 @@
 """Topic queries.
 
 Tables and diagnostics are checked on the one-step model whose topics start
-from a known attribute (languages, or sources); the iterative fit is checked by
-its invariants.
+from a known attribute (languages, or sources). The spectral start is checked
+up to its anchors. Iterative fits return what they found; SQL has no fit, so
+their tables are checked by tests that recompute every figure from them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scalars import log_factorial
-from corpusloom.operators import grouped, topic_model, topics
+from corpusloom.operators import spectral, topic_grid as grids, topic_model, topics
 from corpusloom.plans.registry import block, query, with_blocks
 from corpusloom.plans.text import noun_counts
 from corpusloom.session import materialize
@@ -34,8 +35,9 @@ def lang_topic(k: int):
     return column
 
 
-def source_topic():
-    return F.regexp_extract("source", "([0-9]+)", 1).cast("int") + 1
+def source_topic(k: int = N_SOURCES):
+    """Topic 1..k of a document from the number of its source, consecutive sources together."""
+    return F.floor(F.regexp_extract("source", "([0-9]+)", 1).cast("int") * k / N_SOURCES).cast("int") + 1
 
 
 class OneStep:
@@ -45,7 +47,7 @@ class OneStep:
         self.k = k
         # The counts feed several branches of one query; store them once.
         self.counts = materialize(noun_counts(spark, folder), "nouns") if counts is None else counts
-        weights = topics.group_topics(self.counts, source_topic() if by_source else lang_topic(k), k)
+        weights = topics.group_topics(self.counts, source_topic(k) if by_source else lang_topic(k), k)
         self.weights = materialize(weights, "weights")
         self.shares = topics.one_step_shares(self.counts, self.weights, k)
 
@@ -56,21 +58,21 @@ class OneStep:
         return topics.tidy(self.shares, "doc_id", "g", self.k, "gamma")
 
 
-def _model_blocks(name: str, k: int, topic_sql: str) -> None:
+def _model_blocks(name: str, k: int, topic_sql: str, base: str = "nouns") -> None:
     ks = range(1, k + 1)
     block(
-        f"bw{name}", ("nouns",),
+        f"bw{name}", (base,),
         "SELECT word, " + ", ".join(
             f"(c{i} + 0.01::DOUBLE) / (sum(c{i}) OVER () + 0.01::DOUBLE * count(*) OVER ()) AS b{i}" for i in ks
         ) + " FROM (SELECT word, " + ", ".join(
             f"coalesce(sum(n) FILTER (WHERE {topic_sql} = {i}), 0)::DOUBLE AS c{i}" for i in ks
-        ) + " FROM nouns GROUP BY word)",
+        ) + f" FROM {base} GROUP BY word)",
     )
     total = " + ".join(f"b{i}" for i in ks)
     block(
-        f"sh{name}", ("nouns", f"bw{name}"),
+        f"sh{name}", (base, f"bw{name}"),
         "SELECT doc_id, " + ", ".join(f"sum(n * b{i} / ({total})) / sum(n)::DOUBLE AS g{i}" for i in ks)
-        + f" FROM nouns c JOIN bw{name} w ON c.word = w.word GROUP BY doc_id",
+        + f" FROM {base} c JOIN bw{name} w ON c.word = w.word GROUP BY doc_id",
     )
     block(f"bl{name}", (f"bw{name}",), " UNION ALL ".join(f"SELECT {i} AS topic, word AS term, b{i} AS beta FROM bw{name}" for i in ks))
     block(f"gl{name}", (f"sh{name}",), " UNION ALL ".join(f"SELECT {i} AS topic, doc_id, g{i} AS gamma FROM sh{name}" for i in ks))
@@ -96,8 +98,8 @@ def _model_blocks(name: str, k: int, topic_sql: str) -> None:
         f"rk{name} r JOIN top{name} t ON r.topic = t.topic AND r.term = t.term GROUP BY r.topic",
     )
     block(
-        f"has{name}", ("nouns", f"top{name}"),
-        f"SELECT DISTINCT t.topic, t.place, n.doc_id FROM nouns n JOIN top{name} t ON n.word = t.term",
+        f"has{name}", (base, f"top{name}"),
+        f"SELECT DISTINCT t.topic, t.place, n.doc_id FROM {base} n JOIN top{name} t ON n.word = t.term",
     )
     block(
         f"co{name}", (f"has{name}", f"top{name}"),
@@ -109,27 +111,47 @@ def _model_blocks(name: str, k: int, topic_sql: str) -> None:
     )
     q = " + ".join(f"g{i} * b{i}" for i in ks)
     block(
-        f"fit{name}", ("nouns", f"bw{name}", f"sh{name}"),
-        f"SELECT c.doc_id, c.word, c.n, {q} AS q FROM nouns c JOIN bw{name} w ON c.word = w.word JOIN sh{name} s ON c.doc_id = s.doc_id",
+        f"fit{name}", (base, f"bw{name}", f"sh{name}"),
+        f"SELECT c.doc_id, c.word, c.n, {q} AS q FROM {base} c JOIN bw{name} w ON c.word = w.word JOIN sh{name} s ON c.doc_id = s.doc_id",
     )
-    unit = "('0x' || substr(md5({0}), 1, 7))::BIGINT / 268435456.0::DOUBLE"
-    doc, cell = unit.format(f"'{HELD_SEED}:' || doc_id"), unit.format(f"'{HELD_SEED}:' || doc_id || ':' || word")
     block(
-        f"ho{name}", (f"fit{name}",),
-        "SELECT count(*) AS docs, avg(score) AS expected_heldout FROM (SELECT doc_id, sum(n * ln(q)) / sum(n) AS score "
-        f"FROM fit{name} WHERE {doc} < 0.1::DOUBLE AND {cell} < 0.5::DOUBLE GROUP BY doc_id)",
+        f"ho{name}", ("taken", f"bw{name}", f"sh{name}"),
+        f"SELECT count(*) AS docs, sum(n) AS tokens, avg(score) AS expected_heldout FROM (SELECT c.doc_id, sum(n) AS n, sum(n * ln({q})) / sum(n) AS score "
+        f"FROM taken c JOIN bw{name} w ON c.word = w.word JOIN sh{name} s ON c.doc_id = s.doc_id GROUP BY c.doc_id)",
     )
+    # Every document-word cell: what an absent word contributes, then the exact correction of the seen ones.
     block(
-        f"re{name}", (f"fit{name}",),
-        "SELECT count(*) AS cells, sum((n - m * q) * (n - m * q) / (m * q * (1 - q))) / "
-        f"(count(*) - count(DISTINCT doc_id) * ({k} - 1)) AS dispersion FROM (SELECT *, (sum(n) OVER (PARTITION BY doc_id))::DOUBLE AS m FROM fit{name})",
+        f"re{name}", (f"fit{name}", f"bw{name}", f"sh{name}"),
+        f"SELECT cells, (absent + seen) / (cells - (SELECT count(*) FROM bw{name}) - docs * ({k} - 1)) AS dispersion FROM "
+        f"(SELECT count(*) FILTER (WHERE m * q > 0.01::DOUBLE) AS cells, sum(m * q / (1 - q)) AS absent FROM (SELECT m, {q} AS q FROM bw{name}, sh{name} s JOIN "
+        f"(SELECT doc_id, sum(n)::DOUBLE AS m FROM fit{name} GROUP BY doc_id) t ON s.doc_id = t.doc_id)), "
+        f"(SELECT count(DISTINCT doc_id) AS docs, sum((n * n - 2 * n * m * q) / (m * q * (1 - q))) AS seen FROM "
+        f"(SELECT *, (sum(n) OVER (PARTITION BY doc_id))::DOUBLE AS m FROM fit{name}))",
     )
 
 
+# Half the tokens of a tenth of the documents, in the order of a hash.
+_UNIT = f"('0x' || substr(md5('{HELD_SEED}:' || doc_id), 1, 7))::BIGINT / 268435456.0::DOUBLE"
+block(
+    "taken", ("nouns",),
+    "SELECT doc_id, word, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, word, j) AS r, count(*) OVER (PARTITION BY doc_id) AS size "
+    f"FROM (SELECT doc_id, word, j, md5('{HELD_SEED}:' || doc_id || ':' || word || ':' || j) AS h FROM (SELECT doc_id, word, unnest(range(1, n + 1)) AS j "
+    f"FROM nouns WHERE {_UNIT} < 0.1::DOUBLE))) WHERE r <= floor(size * 0.5::DOUBLE) GROUP BY doc_id, word",
+)
+block(
+    "kept", ("nouns", "taken"),
+    "SELECT * FROM (SELECT c.doc_id, c.source, c.lang, c.word, c.n - coalesce(t.n, 0) AS n FROM nouns c LEFT JOIN taken t ON c.doc_id = t.doc_id AND c.word = t.word) WHERE n > 0",
+)
 _LANG_SQL = "(CASE lang " + " ".join(f"WHEN '{x}' THEN {{{i}}}" for i, x in enumerate(catalog.LANGS)) + " END)"
 for _k in (2, 4):
     _model_blocks(str(_k), _k, _LANG_SQL.format(*[1 + i * _k // len(catalog.LANGS) for i in range(len(catalog.LANGS))]))
 _model_blocks("s", N_SOURCES, "(CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) + 1)")
+#: Numbers of topics of the grid.
+KS = tuple(range(2, 21, 2))
+_SOURCE_SQL = f"(CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) * {{}} // {N_SOURCES} + 1)"
+for _k in KS:
+    _model_blocks(f"k{_k}", _k, _SOURCE_SQL.format(_k), base="kept")
+_model_blocks("h4", 4, _LANG_SQL.format(1, 2, 3, 4), base="kept")
 
 
 @query(
@@ -294,37 +316,48 @@ def topic_coherence(spark, folder):
 
 @query(
     "topic_heldout",
-    with_blocks("SELECT CAST(docs AS BIGINT) AS docs, round(expected_heldout, 6) AS expected_heldout FROM ho4", "ho4"),
+    with_blocks(
+        "SELECT CAST(docs AS BIGINT) AS docs, CAST(tokens AS BIGINT) AS tokens, (SELECT CAST(sum(n) AS BIGINT) FROM kept) AS kept_tokens, "
+        "round(expected_heldout, 6) AS expected_heldout FROM hoh4", "hoh4", "kept",
+    ),
 )
 def topic_heldout(spark, folder):
-    model = OneStep(spark, folder, 4)
-    fitted = topics.fitted_cells(model.counts, model.weights, model.shares, 4)
-    return topics.held_out_likelihood(fitted, HELD_SEED).withColumn("expected_heldout", F.round("expected_heldout", 6))
+    """Half the tokens of a tenth of the documents are taken out, the model is made of the others and scored on those."""
+    kept, taken, model = _held_out_model(spark, folder, 4)
+    scored = grids.token_likelihood(topics.fitted_cells(taken, model.weights, model.shares, 4))
+    return scored.select("docs", "tokens", kept.select(F.sum("n")).scalar().cast("long").alias("kept_tokens"), F.round("expected_heldout", 6).alias("expected_heldout"))
+
+
+def _held_out_model(spark: SparkSession, folder: str, k: int, by_source: bool = False) -> tuple[DataFrame, DataFrame, OneStep]:
+    kept, taken = grids.hold_out(materialize(noun_counts(spark, folder), "nouns"), HELD_SEED)
+    kept, taken = materialize(kept, "kept"), materialize(taken, "taken")
+    return kept, taken, OneStep(spark, folder, k, by_source, counts=kept)
 
 
 @query(
     "topic_residuals", with_blocks("SELECT CAST(cells AS BIGINT) AS cells, round(dispersion, 6) AS dispersion FROM re4", "re4")
 )
 def topic_residuals(spark, folder):
+    """Dispersion over all document-word cells, those without a count too."""
     model = OneStep(spark, folder, 4)
-    fitted = topics.fitted_cells(model.counts, model.weights, model.shares, 4)
-    return topics.residual_dispersion(fitted, 4).withColumn("dispersion", F.round("dispersion", 6))
+    dense = grids.dense_dispersion(model.counts, model.weights, materialize(model.shares, "shares"), 4)
+    return dense.withColumn("dispersion", F.round("dispersion", 6))
 
 
 def one_step_metrics(spark: SparkSession, folder: str, ks: Sequence[int]) -> DataFrame:
-    """One row of fit metrics per K."""
-    counts = materialize(noun_counts(spark, folder), "nouns")
+    """One row of fit metrics per K, of models made from the kept tokens."""
+    kept, taken, _ = _held_out_model(spark, folder, 2)
     rows = None
     for k in ks:
-        model = OneStep(spark, folder, k, counts=counts)
-        fitted = topics.fitted_cells(counts, model.weights, model.shares, k)
-        score = fitted.agg(F.sum(F.col("n") * F.ln("q")).alias("bound")).withColumn("K", F.lit(k))
+        model = OneStep(spark, folder, k, by_source=True, counts=kept)
+        shares = materialize(model.shares, "shares")
+        score = topics.fitted_cells(kept, model.weights, shares, k).agg(F.sum(F.col("n") * F.ln("q")).alias("bound")).withColumn("K", F.lit(k))
         row = score.withColumn("lbound", F.col("bound") + log_factorial(F.col("K")))
         # Each metric is one row; scalar subqueries put them side by side.
         row = row.withColumns({
-            "dispersion": topics.residual_dispersion(fitted, k).select("dispersion").scalar(),
-            "expected_heldout": topics.held_out_likelihood(fitted, HELD_SEED).select("expected_heldout").scalar(),
-            "semantic_coherence": topics.coherence(model.beta(), counts).select(F.avg("semantic_coherence")).scalar(),
+            "dispersion": grids.dense_dispersion(kept, model.weights, shares, k).select("dispersion").scalar(),
+            "expected_heldout": grids.token_likelihood(topics.fitted_cells(taken, model.weights, shares, k)).select("expected_heldout").scalar(),
+            "semantic_coherence": topics.coherence(model.beta(), kept).select(F.avg("semantic_coherence")).scalar(),
         })
         rows = row if rows is None else rows.unionByName(row)
     return rows
@@ -334,17 +367,17 @@ def one_step_metrics(spark: SparkSession, folder: str, ks: Sequence[int]) -> Dat
     "topic_diagnostics_long",
     with_blocks(
         " UNION ALL ".join(
-            f"SELECT {k} AS K, 'Lower bound' AS \"Metric\", round(sum(n * ln(q)) + lgamma({k} + 1), 3) AS \"Value\" FROM fit{k} UNION ALL "
-            f"SELECT {k}, 'Residuals', round(dispersion, 6) FROM re{k} UNION ALL "
-            f"SELECT {k}, 'Semantic coherence', round(avg(semantic_coherence), 6) FROM co{k} UNION ALL "
-            f"SELECT {k}, 'Held-out likelihood', round(expected_heldout, 6) FROM ho{k}"
-            for k in (2, 4)
+            f"SELECT {k} AS K, 'Lower bound' AS \"Metric\", round(sum(n * ln(q)) + lgamma({k} + 1), 3) AS \"Value\" FROM fitk{k} UNION ALL "
+            f"SELECT {k}, 'Residuals', round(dispersion, 6) FROM rek{k} UNION ALL "
+            f"SELECT {k}, 'Semantic coherence', round(avg(semantic_coherence), 6) FROM cok{k} UNION ALL "
+            f"SELECT {k}, 'Held-out likelihood', round(expected_heldout, 6) FROM hok{k}"
+            for k in KS
         ),
-        *[f"{b}{k}" for k in (2, 4) for b in ("fit", "re", "co", "ho")],
+        *[f"{b}k{k}" for k in KS for b in ("fit", "re", "co", "ho")],
     ),
 )
 def topic_diagnostics_long(spark, folder):
-    long = topics.diagnostics_long(one_step_metrics(spark, folder, (2, 4)))
+    long = topics.diagnostics_long(one_step_metrics(spark, folder, KS))
     digits = F.when(F.col("Metric") == "Lower bound", F.round("Value", 3)).otherwise(F.round("Value", 6))
     return long.withColumn("Value", digits)
 
@@ -354,18 +387,18 @@ def topic_diagnostics_long(spark, folder):
     with_blocks(
         " UNION ALL ".join(
             f"SELECT {k} AS K, CAST(e.topic AS INTEGER) AS topic, round(e.exclusivity, 6) AS exclusivity, round(c.semantic_coherence, 6) AS semantic_coherence "
-            f"FROM ex{k} e JOIN co{k} c ON e.topic = c.topic"
-            for k in (2, 4)
+            f"FROM exk{k} e JOIN cok{k} c ON e.topic = c.topic"
+            for k in KS[1:5]
         ),
-        *[f"{b}{k}" for k in (2, 4) for b in ("ex", "co")],
+        *[f"{b}k{k}" for k in KS[1:5] for b in ("ex", "co")],
     ),
 )
 def topic_excl_vs_coh(spark, folder):
-    counts = materialize(noun_counts(spark, folder), "nouns")
+    kept, _, _ = _held_out_model(spark, folder, 2)
     rows = None
-    for k in (2, 4):
-        beta = materialize(OneStep(spark, folder, k, counts=counts).beta(), "beta")
-        both = topics.exclusivity(beta).join(topics.coherence(beta, counts), "topic")
+    for k in KS[1:5]:
+        beta = materialize(OneStep(spark, folder, k, by_source=True, counts=kept).beta(), "beta")
+        both = topics.exclusivity(beta).join(topics.coherence(beta, kept), "topic")
         part = both.select(
             F.lit(k).alias("K"), "topic", F.round("exclusivity", 6).alias("exclusivity"),
             F.round("semantic_coherence", 6).alias("semantic_coherence"),
@@ -374,76 +407,115 @@ def topic_excl_vs_coh(spark, folder):
     return rows
 
 
-# --- iterative fit ----------------------------------------------------------------------
-
-
-def fitted(spark: SparkSession, folder: str, k: int, max_iter: int = 5, **options) -> topic_model.TopicModel:
-    counts = options.pop("counts", None)
-    if counts is None:
-        counts = materialize(noun_counts(spark, folder).select("doc_id", "word", "n"), "nouns")
-    return topic_model.fit_topics(counts, k, max_iter=max_iter, **options)
+# --- spectral start ----------------------------------------------------------------------
 
-
-block("nvocab", ("nouns",), "SELECT CAST(count(DISTINCT word) AS BIGINT) AS v, CAST(count(DISTINCT doc_id) AS BIGINT) AS d FROM nouns")
+GRAM_COLUMNS, ANCHOR_COLUMNS, ANCHORS = 50, 200, 10
+block("nsize", ("nouns",), "SELECT doc_id, sum(n)::DOUBLE AS size FROM nouns GROUP BY doc_id HAVING sum(n) > 1")
+block("nplace", ("nouns",), "SELECT word, row_number() OVER (ORDER BY sum(n) DESC, word) AS place FROM nouns GROUP BY word")
+block(
+    "gram", ("nouns", "nsize", "nplace"),
+    "SELECT a.word, p.place, p.word AS col, sum(CASE WHEN a.word = b.word THEN a.n * (a.n - 1) ELSE a.n * b.n END / (size * (size - 1))) AS value "
+    f"FROM nouns a JOIN nsize s ON a.doc_id = s.doc_id JOIN nouns b ON a.doc_id = b.doc_id JOIN nplace p ON b.word = p.word AND p.place <= {ANCHOR_COLUMNS} GROUP BY ALL",
+)
+block("gmass", ("nouns", "nsize"), "SELECT word, sum(n / size) AS mass FROM nouns c JOIN nsize s ON c.doc_id = s.doc_id GROUP BY word")
 
 
-def _per_topic(beta: DataFrame) -> DataFrame:
-    return beta.groupBy("topic").agg(F.count("*").alias("n_terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))
+def _gram(spark: SparkSession, folder: str, columns: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    cells, vocabulary = topic_model.corpus_cells(noun_counts(spark, folder))
+    terms = spectral.column_terms(vocabulary, columns)
+    return materialize(spectral.cooccurrence(topic_model.document_rows(cells), terms), "cooccurrence"), vocabulary, terms
 
 
 @query(
-    "topic_fit",
+    "topic_cooccurrence",
     with_blocks(
-        "SELECT CAST(t AS INTEGER) AS topic, v AS n_terms, 1.0::DOUBLE AS beta_sum, true AS rising FROM nvocab, range(1, 5) g(t)", "nvocab"
+        f"SELECT g.word, g.col, round(value, 9) AS value, round(mass, 8) AS mass FROM gram g JOIN gmass m ON g.word = m.word WHERE place <= {GRAM_COLUMNS} AND round(value, 9) > 0",
+        "gram", "gmass",
     ),
 )
-def topic_fit(spark, folder):
-    """K = 4, five iterations: every topic covers the vocabulary and sums to 1; the bound rises."""
-    model = fitted(spark, folder, 4)
-    return _per_topic(model.beta).withColumn("rising", F.lit(model.trace[-1] > model.trace[0]))
+def topic_cooccurrence(spark, folder):
+    """Co-occurrence of every topic word with the most used ones: what the spectral start is made of."""
+    rows, vocabulary, terms = _gram(spark, folder, GRAM_COLUMNS)
+    columns = spark.createDataFrame(list(enumerate(terms)), "at INT, __column BIGINT")
+    names = columns.join(vocabulary.select(F.col("term").alias("__column"), F.col("word").alias("col")), "__column").select("at", "col")
+    cells = rows.select("term", "mass", F.posexplode("row").alias("at", "value")).where(F.round("value", 9) > 0)
+    named = cells.join(names, "at").join(vocabulary.select("term", "word"), "term")
+    return named.select("word", "col", F.round("value", 9).alias("value"), F.round("mass", 8).alias("mass"))
+
+
+def _anchor_blocks() -> None:
+    block(
+        "an0", ("gram", "gmass", "nplace"),
+        "SELECT q.word, q.place, list(coalesce(g.value, 0) / m.mass ORDER BY c.place) AS row FROM nplace q JOIN gmass m ON q.word = m.word "
+        f"JOIN nplace c ON c.place <= {ANCHOR_COLUMNS} LEFT JOIN gram g ON g.word = q.word AND g.place = c.place WHERE q.place <= {ANCHOR_COLUMNS} GROUP BY q.word, q.place",
+    )
+    for i in range(ANCHORS):
+        block(f"pick{i}", (f"an{i}",), f"SELECT word, row, sqrt(list_inner_product(row, row)) AS size FROM an{i} ORDER BY round(list_inner_product(row, row), 10) DESC, place LIMIT 1")
+        block(
+            f"an{i + 1}", (f"an{i}", f"pick{i}"),
+            "SELECT a.word, a.place, list_transform(list_zip(a.row, p.row), lambda x: x[1] - list_inner_product(a.row, p.row) / (size * size) * x[2]) AS row "
+            f"FROM an{i} a, pick{i} p",
+        )
+
+
+_anchor_blocks()
 
 
 @query(
-    "topic_fit_prevalence",
-    with_blocks(
-        "SELECT p.party, CAST(count(DISTINCT n.doc_id) AS BIGINT) AS n_docs, 1.0::DOUBLE AS theta_sum, true AS rising FROM nouns n "
-        "JOIN party p ON n.doc_id = p.doc_id GROUP BY p.party",
-        "nouns", "party",
-    ),
+    "topic_anchors",
+    with_blocks(" UNION ALL ".join(f"SELECT {i + 1} AS place, word FROM pick{i}" for i in range(ANCHORS)), *[f"pick{i}" for i in range(ANCHORS)]),
 )
+def topic_anchors(spark, folder):
+    """The words that stand for one topic each, chosen one after another."""
+    rows, vocabulary, terms = _gram(spark, folder, ANCHOR_COLUMNS)
+    chosen, _ = spectral.anchors(rows, terms, ANCHORS)
+    places = spark.createDataFrame([(i + 1, t) for i, t in enumerate(chosen)], "place INT, term BIGINT")
+    return places.join(vocabulary.select("term", "word"), "term").select("place", "word")
+
+
+# --- iterative fit ----------------------------------------------------------------------
+
+
+TOPICS = 10
+
+
+def nouns(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(noun_counts(spark, folder).select("doc_id", "word", "n"), "nouns")
+
+
+def fitted(spark: SparkSession, folder: str, k: int) -> topic_model.TopicModel:
+    """A model from the spectral start, to convergence."""
+    return topic_model.fit_topics(nouns(spark, folder), k, max_iter=500, start="spectral")
+
+
+@query("topic_fit")
+def topic_fit(spark, folder):
+    """Ten topics: the probability of every word in each."""
+    return fitted(spark, folder, TOPICS).beta.select("topic", "term", F.round("beta", 8).alias("beta"))
+
+
+@query("topic_fit_prevalence")
 def topic_fit_prevalence(spark, folder):
-    """Prevalence on group and a spline of the document number, over the labelled documents."""
+    """Prevalence of ten topics on group and a spline of the document number, over the labelled documents: coefficients against the last topic."""
     meta = materialize(catalog.parties(spark, folder), "meta")
-    counts = noun_counts(spark, folder).join(meta.select("doc_id"), "doc_id").select("doc_id", "word", "n")
-    counts = materialize(counts, "nouns")
+    counts = materialize(noun_counts(spark, folder).join(meta.select("doc_id"), "doc_id").select("doc_id", "word", "n"), "nouns")
     covariates = topic_model.prevalence_covariates(meta, [F.col("party") == "B"], spline="doc_id")
-    model = fitted(spark, folder, 4, counts=counts, covariates=covariates)
-    sums = model.theta.select("doc_id", F.aggregate("theta", F.lit(0.0), lambda a, b: a + b).alias("s"))
-    return sums.join(meta, "doc_id").groupBy("party").agg(
-        F.count("*").alias("n_docs"), F.round(F.avg("s"), 6).alias("theta_sum")
-    ).withColumn("rising", F.lit(model.trace[-1] > model.trace[0]))
+    model = topic_model.fit_topics(counts, TOPICS, covariates=covariates, max_iter=500, start="spectral")
+    names = ["(Intercept)", "party_B", *[f"s{i}" for i in range(1, model.gamma.shape[0] - 1)]]
+    rows = [(n, t + 1, float(v)) for n, line in zip(names, model.gamma) for t, v in enumerate(line)]
+    return spark.createDataFrame(rows, "covariate STRING, topic INT, coefficient DOUBLE")
 
 
-@query(
-    "topic_beta_tidy",
-    with_blocks(
-        "SELECT word AS term, CAST(4 AS BIGINT) AS n_topics, true AS positive FROM nouns GROUP BY word", "nouns"
-    ),
-)
+@query("topic_beta_tidy")
 def topic_beta_tidy(spark, folder):
-    beta = fitted(spark, folder, 4, max_iter=3).beta
-    return beta.groupBy("term").agg(F.count("*").alias("n_topics"), (F.min("beta") > 0).alias("positive"))
+    """(topic, term, beta) of six topics."""
+    return fitted(spark, folder, 6).beta
 
 
-@query(
-    "topic_gamma_tidy",
-    with_blocks(
-        "SELECT doc_id, CAST(4 AS BIGINT) AS n_topics, 1.0::DOUBLE AS gamma_sum FROM nouns GROUP BY doc_id", "nouns"
-    ),
-)
+@query("topic_gamma_tidy")
 def topic_gamma_tidy(spark, folder):
-    gamma = topics.tidy_theta(fitted(spark, folder, 4, max_iter=3).theta)
-    return gamma.groupBy("doc_id").agg(F.count("*").alias("n_topics"), F.round(F.sum("gamma"), 6).alias("gamma_sum"))
+    """(doc_id, topic, gamma) of six topics."""
+    return topics.tidy_theta(fitted(spark, folder, 6).theta)
 
 
 def wide_weights(beta: DataFrame, k: int) -> DataFrame:
@@ -455,57 +527,40 @@ def wide_shares(theta: DataFrame, k: int) -> DataFrame:
     return theta.select("doc_id", *[F.col("theta")[i - 1].alias(f"g{i}") for i in range(1, k + 1)])
 
 
-def grid(spark: SparkSession, folder: str, ks: Sequence[int], max_iter: int) -> tuple[DataFrame, dict[int, topic_model.TopicModel]]:
-    """Fit every K and collect one row of diagnostics per model."""
-    counts = materialize(noun_counts(spark, folder).select("doc_id", "word", "n"), "nouns")
-    models, rows = {}, None
-    for k in ks:
-        model = models[k] = fitted(spark, folder, k, max_iter=max_iter, counts=counts)
-        cells = topics.fitted_cells(counts, wide_weights(model.beta, k), wide_shares(model.theta, k), k)
-        cells = materialize(cells, "fitted")
+def grid_metrics(models: dict[int, topic_model.TopicModel], kept: DataFrame, taken: DataFrame) -> DataFrame:
+    """One row of diagnostics for each fitted model."""
+    spark, rows = kept.sparkSession, None
+    for k, model in models.items():
+        weights, shares = materialize(wide_weights(model.beta, k), "weights"), wide_shares(model.theta, k)
         row = topics.bound_summary(model.trace_table(spark)).withColumns({
             "exclusivity": topics.exclusivity(model.beta).select(F.avg("exclusivity")).scalar(),
-            "semantic_coherence": topics.coherence(model.beta, counts).select(F.avg("semantic_coherence")).scalar(),
-            "expected_heldout": topics.held_out_likelihood(cells, HELD_SEED).select("expected_heldout").scalar(),
-            "dispersion": topics.residual_dispersion(cells, k).select("dispersion").scalar(),
+            "semantic_coherence": topics.coherence(model.beta, kept).select(F.avg("semantic_coherence")).scalar(),
+            "expected_heldout": grids.token_likelihood(topics.fitted_cells(taken, weights, shares, k)).select("expected_heldout").scalar(),
+            "dispersion": grids.dense_dispersion(kept, weights, shares, k).select("dispersion").scalar(),
         })
         rows = row if rows is None else rows.unionByName(row)
-    return rows, models
+    return rows
 
 
 @query("topic_grid")
 def topic_grid(spark, folder):
-    return grid(spark, folder, (2, 4), max_iter=3)[0]
+    """Models of 2 to 20 topics, fitted to the kept tokens in one pass a round, and what they are compared by."""
+    kept, taken = grids.hold_out(nouns(spark, folder), HELD_SEED)
+    kept, taken = materialize(kept, "kept"), materialize(taken, "taken")
+    return grid_metrics(grids.fit_grid(kept, KS), kept, taken)
 
 
-@query(
-    "topic_select",
-    with_blocks("SELECT CAST(4 AS INTEGER) AS K, d AS n_docs, CAST(4 AS INTEGER) AS n_topics FROM nvocab", "nvocab"),
-)
+@query("topic_select")
 def topic_select(spark, folder):
-    """The model of one K out of several fits, read back from its stored tables."""
-    counts = materialize(noun_counts(spark, folder).select("doc_id", "word", "n"), "nouns")
-    models = {k: fitted(spark, folder, k, max_iter=2, counts=counts) for k in (2, 4)}
-    chosen = models[4]
-    return chosen.theta.agg(
-        F.lit(chosen.topics).alias("K"), F.count("*").alias("n_docs"), F.max(F.size("theta")).alias("n_topics")
-    )
+    """Topic shares of every document by the model of six topics out of the grid."""
+    models = grids.fit_grid(nouns(spark, folder), KS)
+    return topics.tidy_theta(models[6].theta).select(F.lit(6).alias("K"), "doc_id", "topic", "gamma")
 
 
-@query(
-    "topic_bound",
-    with_blocks(
-        "SELECT CAST(4 AS INTEGER) AS K, CAST(5 AS BIGINT) AS iterations, round(lgamma(5), 8) AS lfact, true AS rising, true AS consistent "
-        "FROM nvocab WHERE v > 0",
-        "nvocab",
-    ),
-)
+@query("topic_bound")
 def topic_bound(spark, folder):
-    model = fitted(spark, folder, 4, tolerance=0.0)
+    """The bound after every round of a fit of ten topics, and the best one with the logarithm of the topics' orders."""
+    model = fitted(spark, folder, TOPICS)
     trace = model.trace_table(spark)
-    summary = topics.bound_summary(trace)
-    first = trace.filter("iter = 1").select("bound").scalar()
-    return summary.select(
-        "K", "iterations", F.round("lfact", 8).alias("lfact"), (F.col("bound") > first).alias("rising"),
-        (F.abs(F.col("lbound") - F.col("bound") - F.col("lfact")) < 1e-6).alias("consistent"),
-    )
+    best = topics.bound_summary(trace).select("K", "lfact", "lbound", "iterations")
+    return trace.join(best, "K").select("K", "iter", "bound", "lfact", "lbound", "iterations")
