@@ -149,7 +149,7 @@ def _encode(known: dict):
             base = np.where(found, np.log10((count + 0.5) / t["divisor"]), 0.0)
             rare = np.where(found & (ids < 0), np.log10((count + 0.5) / t["divisors"][w.rare]), 0.0)
             code = np.where(ids < 0, t["words"] + w.rare, ids)
-            sums = [np.bincount(w.owner, weights=x[w.token], minlength=n) for x in (base, rare, found)]
+            sums = [np.bincount(w.owner, weights=x[w.token], minlength=n).astype(np.float64) for x in (base, rare, found)]
             size = np.bincount(w.owner, minlength=n) + 1
             coded, ends = np.zeros(int(size.sum()), dtype="<u2"), np.cumsum(size)
             coded[np.arange(len(w.token)) + w.owner] = code[w.token]

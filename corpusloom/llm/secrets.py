@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +23,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words in whose reach strings are measured, the reach in characters, and the text around a string that primes the compressor.
-SENSITIVE = re.compile(r"(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|client[_-]?id)", re.A)
+SENSITIVE = re.compile(r"(?i:passw(?:or)?d|passphrase|secret|token|(?:api|access|private)[ _-]?key|credential|authorization|bearer|client[ _-]?id)", re.A)
 REACH, AROUND = 64, 512
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Marginal bytes for each character from which a string counts as new.
-NOVELTY = 0.8
+#: Part of the bytes of a random string over the same letters from which a string counts as new, and what the compressor spends on its tables.
+NOVELTY, TABLES = 0.8, 16
+#: Letters a string can be over, the smallest first: digits, hexadecimal, base32, one case with digits, both cases, base64.
+ALPHABETS = [(re.compile(p), n) for p, n in (
+    (r"[0-9]+", 10), (r"[0-9a-f]+|[0-9A-F]+", 16), (r"[A-Z2-7=]+", 32), (r"[0-9a-z_-]+|[0-9A-Z_-]+", 38), (r"[0-9A-Za-z]+", 62))]
 
 #: What code and its placeholders are made of; primes the compressor beside the surrounding text.
 IDENTIFIERS = (
@@ -62,19 +67,34 @@ def mixed(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
+def random_bytes(value: str) -> float:
+    """About what a random string of this length over the same letters compresses to."""
+    letters = next((n for p, n in ALPHABETS if p.fullmatch(value)), 66)
+    return min(len(value), len(value) * math.log2(letters) / 8 + TABLES)
+
+
 def novel_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Strings in reach of a sensitive word, outside the base spans, that hardly compress."""
-    out, done = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH + 256)):
-            start, end = m.span()
-            if start > word.end() + REACH:
-                break
-            if start <= done or end == word.end() + REACH + 256 < len(text) or not mixed(m[0]) or any(start < b and a < end for a, _, b in taken):
-                continue
-            done = start
-            if marginal_bytes(m[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * len(m[0]):
-                out.append((start, 3, end))
+    """Strings in reach of a sensitive word, outside the base spans, that hardly compress.
+
+    A string is in reach of a word before it, behind it or inside it, and so is one on the line below such a string: a key may take
+    many lines. Strings run to their own end, whatever their length, and never overlap.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    begins, ends = [a for a, _ in words], sorted(b for _, b in words)
+    out, last, reached = [], 0, False
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        # A word begins between the string's own begin and its reach behind, or ends in the reach before.
+        i, j = bisect_left(begins, start), bisect_left(ends, start - REACH)
+        near = (i < len(begins) and begins[i] <= end + REACH) or (j < len(ends) and ends[j] <= start)
+        reached = near or (reached and start - last <= 2 and text[last:start].strip() == "")
+        last = end
+        if not reached or not mixed(m[0]) or any(start < b and a < end for a, _, b in taken):
+            continue
+        if marginal_bytes(m[0], text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY * random_bytes(m[0]):
+            out.append((start, 3, end))
     return out
 
 
@@ -82,7 +102,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets`` (array of kind, start, end; code points, end exclusive; by start, then kind) added.
 
     Each whole text is scanned where it is read; nothing is shuffled. A null or empty text has none; repeated rows are kept; a
-    column named ``secrets`` is replaced. Strings of over 320 characters behind a sensitive word are left to the base patterns.
+    column named ``secrets`` is replaced; an empty table gives no rows. Strings are measured to their end, however long.
     """
     out = docs.drop("secrets")
     schema = T.StructType(out.schema.fields + T.StructType.fromDDL("secrets array<struct<kind:string,start:int,end:int>>").fields)

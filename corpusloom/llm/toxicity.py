@@ -18,9 +18,9 @@ from corpusloom.session import materialize
 SHARD_BYTES = 1 << 20
 #: The model is fitted on at most this many labelled documents of either class, those with the smallest id hashes.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
-#: Features kept at most; a kept one stands in so many toxic documents, in this part of them, and is so many times as frequent there.
-#: Rarer ones mostly come from families of copied documents.
-FEATURES, LEAST_DOCS, LEAST_PART, LEAST_RATIO = 4_096, 3, 0.01, 60.0
+#: Features kept at most; a kept one stands in so many toxic documents and in this part of them, and even one standard error below its
+#: estimate its odds are so many times those in clean documents. Rarer ones mostly come from families of copied documents.
+FEATURES, LEAST_DOCS, LEAST_PART, LEAST_ODDS = 4_096, 3, 0.01, 8.0
 GRADES = 3
 PREFIXES = (4, 5, 6)
 #: A document is rejected when a grade over 0 is more likely than not.
@@ -150,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
 
     The labels know toxic or not; grades 1 to 3 of toxic documents are the thirds of their share of words that carry a toxic
     feature. Features are words and word beginnings, so unseen endings of a known stem count. Those that stand out in the toxic
-    sample are kept (counted in Spark), then the sample's few matches come to the driver. Without labels of both classes nothing is
-    toxic.
+    sample are kept (counted in Spark), then the sample's few matches come to the driver. Without labels of both classes, or without
+    any feature that stands out, nothing is toxic.
     """
     rows = training_rows(docs, labels, text, doc)
     total = {r.toxic > 0: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -160,8 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
     if not bad or not good:
         return empty
     counts = rows.mapInArrow(_count_features, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = (F.col("toxic") + 0.5) / (bad + 1) / ((F.col("clean") + 0.5) / (good + 1))
-    kept = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * bad)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "f").limit(FEATURES).select("f").collect()
+    held, missed = (F.col("toxic") + 0.5, F.lit(bad) - F.col("toxic") + 0.5), (F.col("clean") + 0.5, F.lit(good) - F.col("clean") + 0.5)
+    odds = F.ln(held[0] / held[1]) - F.ln(missed[0] / missed[1])
+    error = F.sqrt(sum((1 / c for c in (*held, *missed)), F.lit(0.0)))
+    kept = counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_PART * bad)) & (odds - error >= float(np.log(LEAST_ODDS)))).orderBy(F.desc("toxic"), "f").limit(FEATURES).select("f").collect()
+    if not kept:
+        return empty
     features = np.sort(np.array([r.f for r in kept], dtype=np.int64).view(np.uint64))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "do
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``p_toxic`` (grade over 0), ``severity`` (expected grade, 0 to 3) and ``toxic`` (rejected) added.
 
-    Each text is scored whole, nothing is shuffled. A null or empty text has no features and is clean; repeated rows are kept;
-    columns named like the added ones are replaced.
+    Each text is scored whole, nothing is shuffled. A text without features, a null or empty one too, is never rejected, whatever the
+    share of toxic labels; repeated rows are kept; columns named like the added ones are replaced; an empty table gives no rows.
     """
     out = docs.drop("p_toxic", "severity", "toxic")
     schema = T.StructType(out.schema.fields + T.StructType.fromDDL("p_toxic double, severity double, toxic boolean").fields)
@@ -195,7 +199,8 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for shard in X.pieces(batches, text, SHARD_BYTES):
             row, number, _ = matched(X.raw_texts(shard, text), model.features)
             above = model.severity(np.bincount(row, weights=model.weights[number], minlength=shard.num_rows))
-            new = [pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(above[:, 0] > REJECT)]
+            carries = np.bincount(row, minlength=shard.num_rows) > 0
+            new = [pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array((above[:, 0] > REJECT) & carries)]
             yield pa.RecordBatch.from_arrays([*shard.columns, *new], names=[*shard.schema.names, "p_toxic", "severity", "toxic"])
 
     return out.mapInArrow(run, schema)

@@ -41,7 +41,8 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
 
     A payload is the page in UTF-8; a null page is empty. Of pages with equal payloads of at least ``least`` bytes the one with
     the largest id is a response, those with smaller ids are revisits that refer to it. A null id never refers. A payload that holds
-    the border of two records goes in base64, named in its HTTP header, so every border in a file is a real one.
+    the border of two records, or makes one with the line ends around it, goes in base64, named in its HTTP header, so every border in
+    a file is a real one. Repeated rows are captures each; an empty table gives an empty archive; other columns do not matter.
     Line ends in an address become spaces; a null address is empty.
     """
     text = F.coalesce(F.col(html), F.lit(""))
@@ -52,7 +53,8 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
     known = captured.join(again, "digest", "left")
     revisit = F.coalesce(F.col("page") < F.col("keeper"), F.lit(False)) & (F.col("bytes") >= least)
     own = _urn(F.lit("capture"), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("digest"))
-    border = F.contains(F.col("payload"), F.lit(BETWEEN))
+    # With the line ends that stand around it in the file: a payload may begin or end with a part of a border.
+    border = F.contains(F.concat(F.lit("\r\n\r\n"), F.col("payload"), F.lit("\r\n\r\n")), F.lit(BETWEEN))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"),
         F.when(border, F.lit("\r\nContent-Transfer-Encoding: base64")).otherwise(F.lit("")), F.lit("\r\n\r\n"))
@@ -102,8 +104,9 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
     that its headers give. ``request`` and ``metadata`` are the records whose concurrent-to identifier is the response's (or that the
     response names as concurrent); of several, the one with the smallest id. They are summed up per identifier before the join, so
     repeated records never multiply. A capture without them has nulls there; a request without a capture is left out.
-    Without ``payload`` the payloads are measured and digested where they are read, and do not move with the joins.
+    A record shorter than its header says is left out. Without ``payload`` the payloads are measured and digested where they are read, and do not move with the joins.
     """
+    records = records.where("complete")
     main = F.col("type").isin("response", "revisit")
     http = F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)
     body = F.substring(F.col("block"), F.octet_length("http") + 5, 2**31 - 1)
