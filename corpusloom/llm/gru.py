@@ -49,10 +49,15 @@ def _shares(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return part, np.log(total) + most
 
 
+def _entry(w: Weights) -> np.ndarray:
+    """What each id gives to the gates."""
+    return w["input"] @ w["gate"] + w["gate_bias"]
+
+
 def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool):
     """One window: ``x`` before ``y``, steps by lanes. Returns natural logarithms (0 where not ``live``), the last state and gradients."""
     h, (steps, lanes) = lay.hidden, x.shape
-    entry = w["input"] @ w["gate"] + w["gate_bias"]  # what each id gives to the gates
+    entry = w["entry"] if "entry" in w else _entry(w)
     states = np.empty((steps + 1, lanes, h), dtype=w["state"].dtype)
     states[0] = state
     kept = steps if learn else 1  # what only the way back reads is written over when there is none
@@ -176,6 +181,8 @@ def run(lay: Layout, w: Weights, texts: list[np.ndarray], learn: "Optimizer | No
     With an optimizer the weights move after each window, along the gradient that stops at the window's beginning.
     """
     total = np.zeros(len(texts))
+    if learn is None:
+        w = {**w, "entry": _entry(w)}
     for group in documents(texts):
         sizes = np.array([len(texts[i]) for i in group])
         state = np.zeros((len(group), lay.hidden), dtype=np.float32)

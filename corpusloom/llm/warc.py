@@ -53,8 +53,11 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
     known = captured.join(again, "digest", "left")
     revisit = F.coalesce(F.col("page") < F.col("keeper"), F.lit(False)) & (F.col("bytes") >= least)
     own = _urn(F.lit("capture"), F.coalesce(F.col("page").cast("string"), F.lit("")), F.col("digest"))
-    # With the line ends that stand around it in the file: a payload may begin or end with a part of a border.
-    border = F.contains(F.concat(F.lit("\r\n\r\n"), F.col("payload"), F.lit("\r\n\r\n")), F.lit(BETWEEN))
+    # In the file two line ends stand before and behind the payload: its begin or end alone may make a border with them.
+    whole = F.col("payload")
+    border = (
+        F.contains(whole, F.lit(BETWEEN)) | F.startswith(whole, F.lit(VERSION)) | F.startswith(whole, F.lit("\r\n" + VERSION))
+        | F.endswith(whole, F.lit(BETWEEN[:-2])) | whole.isin(VERSION[:-2], "\r\n" + VERSION[:-2]))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"),
         F.when(border, F.lit("\r\nContent-Transfer-Encoding: base64")).otherwise(F.lit("")), F.lit("\r\n\r\n"))
@@ -93,7 +96,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return sized.withColumn("block", block).select(
         F.lower(_field("WARC-Type")).alias("type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("url"), _field("WARC-Date").alias("date"),
         _field("WARC-Concurrent-To").alias("concurrent_to"), _field("WARC-Refers-To").alias("refers_to"), F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        _field("Content-Type").alias("content_type"), (F.octet_length("block") == F.col("size")).alias("complete"), "block",
+        _field("Content-Type").alias("content_type"), (F.octet_length("raw") >= F.octet_length("header") + 4 + F.col("size")).alias("complete"), "block",
     ).where("type IS NOT NULL")
 
 
