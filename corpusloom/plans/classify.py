@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classify, grouped, sentiment, tokens
+from corpusloom.operators import boosting, classify, grouped, sentiment, tokens
 from corpusloom.plans.registry import STOPPED, block, query, with_blocks
 from corpusloom.plans.stats import style
 from corpusloom.plans.topics import OneStep
@@ -199,110 +198,97 @@ def cv_loocv(spark, folder):
     return classify.confusion(predicted, "party", "predicted")
 
 
-@query(
-    "cv_repeated",
-    with_blocks(
-        " UNION ALL ".join(
-            f"SELECT {r} AS repeat, CAST((row_number() OVER (PARTITION BY party ORDER BY md5('{SEED + r}:' || doc_id), doc_id) - 1) % 5 AS INTEGER) AS fold, doc_id FROM party"
-            for r in range(5)
-        ).join(("SELECT repeat, fold, CAST(count(*) AS BIGINT) AS n_test, true AS scored FROM (", ") GROUP BY ALL")),
-        "party",
-    ),
-)
+#: The grid of boosted trees: depths, numbers of trees, folds.
+DEPTHS, STAGES, FOLDS = (1, 2, 3), (50, 100, 150), 3
+
+
+@query("cv_repeated")
 def cv_repeated(spark, folder):
-    """Five repeats of five-fold cross-validation of boosted trees on the style features."""
+    """Five repeats of five-fold cross-validation of 100 boosted trees on the style features."""
     base = classify.assemble(style_features(spark, folder), STYLE).select("doc_id", "party", "label", "features")
     base = materialize(base, "style-features")
     folded = base
     for r in range(5):
         folded = classify.fold_numbers(folded, "doc_id", "party", 5, SEED + r, out=f"fold{r}")
     folded = materialize(folded, "folds")
-    gbm = GBTClassifier(labelCol="label", maxIter=3, maxDepth=2, stepSize=0.1, seed=SEED)
-    rows = []
+    rows = None
     for r in range(5):
-        rows += [(r, f, n, s) for f, n, s in classify.cross_validate(folded, gbm, "label", f"fold{r}", range(5), parallelism=5)]
-    table = spark.createDataFrame(rows, "repeat INT, fold INT, n_test BIGINT, accuracy DOUBLE")
-    return table.select("repeat", "fold", "n_test", F.col("accuracy").between(0.0, 1.0).alias("scored"))
+        scores = boosting.staged_grid(folded, "doc_id", "label", f"fold{r}", (2,), (100,), 5, SEED)
+        right = ((F.col("margin") > 0) == (F.col("label") > 0.5)).cast("int")
+        table = scores.groupBy("fold").agg(F.count("*").alias("n_test"), F.avg(right).alias("accuracy")).select(F.lit(r).alias("repeat"), "fold", "n_test", "accuracy")
+        rows = table if rows is None else rows.unionByName(table)
+    return rows
 
 
 def _feature_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """One stored table with the three feature vectors and the split mark."""
+    """One stored table with the three feature vectors, the split mark and fold numbers."""
     both = combined_features(spark, folder)
     ready = classify.assemble(classify.assemble(both, STYLE, "style"), [*STYLE, "words_vec"], "combined")
     marked = classify.split_stratified(
         ready.select("doc_id", "party", "label", "style", F.col("words_vec").alias("words"), "combined"), "doc_id", "party", 0.75, SEED
     )
-    return materialize(marked, "feature-sets")
+    return materialize(classify.fold_numbers(marked, "doc_id", "party", FOLDS, SEED + 9), "feature-sets")
 
 
 block("parts", ("hashed",), "SELECT doc_id, party, r <= ceil(0.75::DOUBLE * n) AS is_train FROM hashed")
 
 
-@query(
-    "clf_gbm",
-    with_blocks(
-        "SELECT feature_set, CAST(count(*) FILTER (WHERE is_train) AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE NOT is_train) AS BIGINT) AS n_test, "
-        "true AS scored FROM parts, (VALUES ('style'), ('words'), ('combined')) v(feature_set) GROUP BY feature_set",
-        "parts",
-    ),
-)
+def tuned_trees(table: DataFrame, features: str) -> tuple[DataFrame, DataFrame]:
+    """(grid, test predictions) of boosted trees tuned over depth and number of trees on the training rows."""
+    train, test = table.where("is_train"), table.where("NOT is_train")
+    scores = boosting.staged_grid(train, "doc_id", "label", "fold", DEPTHS, STAGES, FOLDS, SEED, features)
+    grid = materialize(boosting.grid_accuracy(scores, "label"), "grid")
+    best = grid.where("chosen").first()
+    model = boosting.fit_trees(train, "label", best["depth"], best["trees"], SEED, features)
+    margin = F.col("margins")[0]
+    scored = boosting.staged_scores(model, test, ["doc_id", "party", "label"], [best["trees"]], features)
+    return grid, scored.select("doc_id", "party", "label", margin.alias("margin"), F.when(margin > 0, "B").otherwise("A").alias("predicted"))
+
+
+@query("clf_gbm")
 def clf_gbm(spark, folder):
-    """Boosted trees on the three feature sets, tuned by cross-validation; test accuracy of each."""
-    table = _feature_sets(spark, folder)
-    train, test = table.filter("is_train"), table.filter("not is_train")
-    n_train, n_test = train.count(), test.count()
-    rows = []
+    """Boosted trees on the three feature sets: cross-validated accuracy over depth and trees, and the chosen ones' test accuracy."""
+    table, rows = _feature_sets(spark, folder), None
     for name in ("words", "style", "combined"):
-        model = classify.fit_gbm(train, "label", depths=(1, 2), trees=(5,), folds=2, seed=SEED, features=name)
-        cells = classify.confusion(model.transform(test), "label", "prediction")
-        rows.append((name, n_train, n_test, classify.accuracy_table(cells, "label", "prediction").first()["accuracy"]))
-    result = spark.createDataFrame(rows, "feature_set STRING, n_train BIGINT, n_test BIGINT, accuracy DOUBLE")
-    return result.select("feature_set", "n_train", "n_test", F.col("accuracy").between(0.0, 1.0).alias("scored"))
+        grid, predicted = tuned_trees(table, name)
+        tested = materialize(predicted, "predicted").select(F.avg((F.col("party") == F.col("predicted")).cast("int"))).scalar()
+        part = grid.select(F.lit(name).alias("feature_set"), "depth", "trees", "n", "accuracy", "chosen", F.when(F.col("chosen"), tested).alias("test_accuracy"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
-@query(
-    "clf_predict",
-    with_blocks("SELECT doc_id, party, true AS predicted FROM parts WHERE NOT is_train", "parts"),
-)
+@query("clf_predict")
 def clf_predict(spark, folder):
+    """Test predictions of the tuned trees on the style features."""
     features = classify.assemble(style_features(spark, folder), STYLE)
     marked = classify.split_stratified(features, "doc_id", "party", 0.75, SEED)
-    table = materialize(marked.select("doc_id", "party", "label", "features", "is_train"), "style-split")
-    model = classify.fit_gbm(table.filter("is_train"), "label", depths=(2,), trees=(10,), folds=2, seed=SEED)
-    scored = model.transform(table.filter("not is_train"))
-    return scored.select("doc_id", "party", F.col("prediction").isin(0.0, 1.0).alias("predicted"))
+    folded = classify.fold_numbers(marked.select("doc_id", "party", "label", "features", "is_train"), "doc_id", "party", FOLDS, SEED + 9)
+    _, predicted = tuned_trees(materialize(folded, "style-split"), "features")
+    return predicted.select("doc_id", "party", "predicted", "margin")
 
 
-@query(
-    "automl_leaderboard",
-    with_blocks(
-        "SELECT model, CAST(count(*) FILTER (WHERE party = 'B') AS BIGINT) AS n_pos, CAST(count(*) FILTER (WHERE party = 'A') AS BIGINT) AS n_neg, "
-        "true AS ranked FROM (SELECT * FROM hashed WHERE r > ceil(0.7::DOUBLE * n)), "
-        "(VALUES ('logistic'), ('forest'), ('boosted'), ('bayes'), ('perceptron')) v(model) GROUP BY model",
-        "hashed",
-    ),
-)
+def _board_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored table of style, positivity, topic shares and words of the grouped documents."""
+    words = word_features(spark, folder).select("doc_id", F.col("words_vec").alias("words"))
+    table = classification_table(spark, folder).select("doc_id", "party", _target(), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in TABLE])
+    return materialize(table.join(words, "doc_id"), "board-table")
+
+
+@query("automl_leaderboard")
 def automl_leaderboard(spark, folder):
-    """Five model families with balanced classes, ranked by test AUC."""
-    table = classification_table(spark, folder).select("doc_id", "party", _target(), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in TABLE])
-    marked = classify.class_weights(classify.split_stratified(table, "doc_id", "party", 0.7, SEED), "party")
-    stored = materialize(marked, "leaderboard")
-    board, _ = classify.leaderboard(
-        stored.filter("is_train"), stored.filter("not is_train"), TABLE, "label", "doc_id", "weight", SEED
-    )
-    return board.select("model", "n_pos", "n_neg", (F.col("auc").between(0.0, 1.0) & (F.col("place") <= 5)).alias("ranked"))
+    """Five model families with balanced classes and their stacked ensemble, ranked by cross-validated AUC."""
+    ready = boosting.scaled_features(_board_table(spark, folder), [*TABLE, "words"]).select("doc_id", "party", "label", "features")
+    marked = classify.class_weights(classify.split_stratified(ready, "doc_id", "party", 0.7, SEED), "party")
+    stored = materialize(classify.fold_numbers(marked, "doc_id", "party", 5, SEED + 9), "leaderboard")
+    return boosting.stacked_leaderboard(stored, "doc_id", "label", "weight", "fold", 5, "is_train", SEED)[1]
 
 
-@query(
-    "eval_varimp",
-    "SELECT feature, true AS valid FROM (VALUES " + ", ".join(f"('{c}')" for c in TABLE) + ") v(feature) WHERE EXISTS (SELECT 1 FROM documents)",
-)
+@query("eval_varimp")
 def eval_varimp(spark, folder):
-    table = classification_table(spark, folder).select("doc_id", _target(), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in TABLE])
-    stored = materialize(classify.assemble(table, TABLE), "varimp")
-    model = classify.fit_gbm(stored, "label", depths=(3,), trees=(10,), folds=2, seed=SEED)
-    rows = spark.createDataFrame(classify.importances(model, TABLE), "feature STRING, importance DOUBLE")
-    return rows.select("feature", F.col("importance").between(0.0, 1.0).alias("valid"))
+    """Loss of AUC of boosted trees when a column, or all word counts together, is dealt anew."""
+    table, columns = _board_table(spark, folder), [*TABLE, "words"]
+    model = boosting.fit_trees(materialize(classify.assemble(table, columns), "varimp"), "label", 3, 50, SEED)
+    return boosting.permutation_importance(model, table, "doc_id", "label", columns, SEED, lambda rows: classify.assemble(rows, columns))
 
 
 # --- evaluation ---------------------------------------------------------------------
