@@ -6,11 +6,12 @@ fixed size, and only those small sums reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -230,6 +231,55 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, restarts: int, seed: i
     return best.transform(points).drop("__f")
 
 
+def transfers(clustered: DataFrame, key: str, columns: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Moves single rows between clusters until no move lowers the within sum of squares (Hartigan and Wong's condition).
+
+    A move counts what both centres change by: n / (n - 1) times the squared distance saved where the row leaves, n / (n + 1) times that
+    paid where it goes. Each pass reads the rows once with the live centres and keeps, for every pair of clusters, the row with the
+    greatest saving; moves between pairs of clusters that share none add up, so they are made together. Only centres and these rows
+    reach the driver. ``clustered`` should be a stored table with ``cluster``; a cluster never loses its last row.
+    """
+    spark, kind = clustered.sparkSession, clustered.schema[key].dataType.simpleString()
+    start = clustered.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns]).collect()
+    sizes = {r["cluster"]: float(r["n"]) for r in start}
+    sums = {r["cluster"]: np.array([r[c] for c in columns], dtype=float) for r in start}
+    moved: dict = {}
+    while True:
+        names = sorted(sizes)
+        n, centres = np.array([sizes[c] for c in names]), np.stack([sums[c] / sizes[c] for c in names])
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            place = {c: i for i, c in enumerate(names)}
+            for frame in batches:
+                own = np.array([place[moved.get(k, c)] for k, c in zip(frame[key], frame["cluster"])], dtype=np.int64)
+                gaps = ((frame[list(columns)].to_numpy(dtype=float)[:, None, :] - centres[None]) ** 2).sum(axis=2)
+                at = np.arange(len(frame))
+                paid = gaps * (n / (n + 1))
+                paid[at, own] = np.inf
+                to = paid.argmin(axis=1)
+                saved = np.where(n[own] > 1, gaps[at, own] * n[own] / np.maximum(n[own] - 1, 1), -np.inf) - paid[at, to]
+                out = pd.DataFrame({"a": own, "b": to, "saved": saved, key: frame[key].to_numpy()})
+                out["x"] = list(frame[list(columns)].to_numpy(dtype=float))
+                out = out[out["saved"] > tolerance]
+                yield out.sort_values(["saved", key], ascending=[False, True]).groupby(["a", "b"], as_index=False).first()[["a", "b", "saved", key, "x"]]
+
+        found = clustered.select(key, "cluster", *columns).mapInPandas(best, f"a INT, b INT, saved DOUBLE, `{key}` {kind}, x ARRAY<DOUBLE>")
+        rows = found.groupBy("a", "b").agg(F.min(F.struct((-F.col("saved")).alias("o"), key, "x")).alias("m")).collect()
+        used: set[int] = set()
+        for row in sorted(rows, key=lambda r: (r["m"]["o"], r["a"], r["b"])):
+            if not used & {row["a"], row["b"]}:
+                used |= {row["a"], row["b"]}
+                a, b, x = names[row["a"]], names[row["b"]], np.array(row["m"]["x"])
+                moved[row["m"][key]] = b
+                sizes[a], sizes[b], sums[a], sums[b] = sizes[a] - 1, sizes[b] + 1, sums[a] - x, sums[b] + x
+        if not used:
+            break
+    if not moved:
+        return clustered
+    changes = spark.createDataFrame(list(moved.items()), f"`{key}` {kind}, __to INT")
+    return clustered.join(changes, key, "left").withColumn("cluster", F.coalesce("__to", "cluster")).drop("__to")
+
+
 def within_ss(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: points, clusters, and within, between and total sums of squares."""
     n = F.col("n").cast("double")
@@ -246,11 +296,14 @@ def within_ss(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).withColumn("total_ss", F.col("within_ss") + F.col("between_ss"))
 
 
-def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int, restarts: int = 1) -> DataFrame:
-    """Within sum of squares for each k; k = 1 is the total."""
-    tables = [
-        within_ss(kmeans(df, columns, k, restarts, seed), columns).select(F.lit(k).alias("k"), "*") for k in ks
-    ]
+def elbow(df: DataFrame, columns: Sequence[str], ks: Sequence[int], seed: int, restarts: int = 1, key: str | None = None) -> DataFrame:
+    """Within sum of squares for each k, after single transfers where a key is given; k = 1 is the total."""
+    tables = []
+    for k in ks:
+        clustered = kmeans(df, columns, k, restarts, seed)
+        if key is not None and k > 1:
+            clustered = transfers(materialize(clustered, "clusters"), key, columns)
+        tables.append(within_ss(clustered, columns).select(F.lit(k).alias("k"), "*"))
     result = tables[0]
     for other in tables[1:]:
         result = result.unionByName(other)

@@ -70,21 +70,7 @@ def stat_lm(spark, folder):
     )
 
 
-@query(
-    "stat_lmer",
-    with_blocks(
-        "SELECT m.model, t.term, CASE m.model WHEN 'readability' THEN fk WHEN 'formality' THEN fm WHEN 'sentence_length' THEN ml ELSE nw END AS n, "
-        "CAST(CASE m.model WHEN 'readability' THEN gfk WHEN 'formality' THEN gfm WHEN 'sentence_length' THEN gml ELSE gnw END AS BIGINT) AS n_groups, "
-        "true AS finite FROM "
-        "(SELECT CAST(count(Flesch_Kincaid) AS BIGINT) AS fk, CAST(count(F_measure) AS BIGINT) AS fm, CAST(count(mean_sent_length) AS BIGINT) AS ml, "
-        "CAST(count(n_words) AS BIGINT) AS nw, count(DISTINCT source) FILTER (WHERE Flesch_Kincaid IS NOT NULL) AS gfk, "
-        "count(DISTINCT source) FILTER (WHERE F_measure IS NOT NULL) AS gfm, count(DISTINCT source) FILTER (WHERE mean_sent_length IS NOT NULL) AS gml, "
-        "count(DISTINCT source) AS gnw FROM style s JOIN party p ON s.doc_id = p.doc_id), "
-        "(VALUES ('readability'), ('formality'), ('sentence_length'), ('doc_length')) m(model), "
-        "(VALUES ('(Intercept)'), ('party_B'), ('document')) t(term)",
-        "style", "party",
-    ),
-)
+@query("stat_lmer")
 def stat_lmer(spark, folder):
     """The four style measures on party and document number with a random intercept per source."""
     joined = style(spark, folder).join(catalog.parties(spark, folder), "doc_id")
@@ -97,8 +83,7 @@ def stat_lmer(spark, folder):
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         result = reduce(DataFrame.unionByName, pool.map(fit, models))
-    finite = (F.col("std_error") > 0) & (F.col("group_variance") >= 0) & (F.col("residual_variance") > 0) & ~F.isnan("estimate")
-    return result.select("model", "term", "n", "n_groups", finite.alias("finite"))
+    return result.select("model", "term", "n", "n_groups", "estimate", "std_error", "t", "group_variance", "residual_variance")
 
 
 block("complete", ("style",), "SELECT * FROM style WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES))
@@ -160,42 +145,28 @@ block(
 SEED = 20240
 
 
-@query(
-    "ml_kmeans",
-    with_blocks(
-        "SELECT k, n_points, CAST(k AS BIGINT) AS n_clusters, round(total_ss, 5) AS total_ss, true AS split FROM totss, (VALUES (2), (4)) v(k)",
-        "totss",
-    ),
-)
+@query("ml_kmeans")
 def ml_kmeans(spark, folder):
-    """k = 2 and 4 with 25 restarts on the source profiles; within + between = total."""
-    points = profiles(spark, folder)
-    tables = [
-        stats.within_ss(stats.kmeans(points, FEATURES, k, restarts=25, seed=SEED), FEATURES).select(F.lit(k).alias("k"), "*")
-        for k in (2, 4)
-    ]
-    both = tables[0].unionByName(tables[1])
-    return both.select(
-        "k", "n_points", "n_clusters", F.round("total_ss", 5).alias("total_ss"), (F.col("within_ss") < F.col("total_ss")).alias("split")
-    )
-
-
-@query(
-    "ml_kmeans_wss",
-    with_blocks(
-        "SELECT CAST(k AS INTEGER) AS k, n_points, round(total_ss, 5) AS total_ss, CASE WHEN k = 1 THEN round(total_ss, 5) END AS first_wss, true AS bounded "
-        "FROM totss, range(1, 11) g(k)",
-        "totss",
-    ),
-)
+    """k = 2 and 4 with 25 restarts and single transfers on the source profiles: cluster of each source, its size, centre and within sum of squares."""
+    points, rows = materialize(profiles(spark, folder), "points"), None
+    for k in (2, 4):
+        best = materialize(stats.kmeans(points, FEATURES, k, restarts=25, seed=SEED), "clusters")
+        clustered = stats.transfers(best, "source", FEATURES)
+        facts = clustered.groupBy("cluster").agg(
+            F.min("source").alias("name"), F.count("*").alias("size"), *[F.avg(c).alias(f"center_{c}") for c in FEATURES],
+            sum((F.var_pop(c) * F.count("*") for c in FEATURES), F.lit(0.0)).alias("within_ss"))
+        # A cluster is named by its first source: numbers differ from start to start.
+        part = clustered.select("source", "cluster").join(facts, "cluster").drop("cluster").select(F.lit(k).alias("k"), "source", F.col("name").alias("cluster"), "size", "within_ss", *[f"center_{c}" for c in FEATURES])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("ml_kmeans_wss")
 def ml_kmeans_wss(spark, folder):
-    points = profiles(spark, folder)
-    curve = stats.elbow(points, FEATURES, range(1, 11), SEED)
-    return curve.select(
-        "k", "n_points", F.round("total_ss", 5).alias("total_ss"),
-        F.when(F.col("k") == 1, F.round("within_ss", 5)).alias("first_wss"),
-        (F.col("within_ss") <= F.col("total_ss") + 1e-9).alias("bounded"),
-    )
+    """The curve of within sums of squares for 1 to 10 clusters, each with restarts and single transfers."""
+    points = materialize(profiles(spark, folder), "points")
+    curve = stats.elbow(points, FEATURES, range(1, 11), SEED, restarts=5, key="source")
+    return curve.select("k", "n_points", "n_clusters", "within_ss", "between_ss", "total_ss")
 
 
 # Leading eigenvectors of the covariance by repeated squaring: the square of a symmetric matrix, scaled by its trace, tends to the

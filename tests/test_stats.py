@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.student import _two_sided
 from corpusloom.operators import stats
+from corpusloom.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +110,54 @@ def test_kmeans_keeps_the_best_restart(spark):
     assert one.n_clusters == 3 and math.isclose(one.within_ss, 0.06, rel_tol=1e-6)
     curve = stats.elbow(df, ["x", "y"], [1, 3], 1, restarts=3).collect()
     assert math.isclose(curve[0].within_ss, curve[0].total_ss)
+
+
+def test_no_single_transfer_lowers_the_total(spark):
+    rng = np.random.default_rng(6)
+    points = [(f"p{i:03d}", *map(float, rng.normal(size=3)), int(rng.integers(0, 4))) for i in range(150)]
+    df = materialize(spark.createDataFrame(points, "key STRING, x DOUBLE, y DOUBLE, z DOUBLE, cluster INT").repartition(3), "points")
+    columns = ["x", "y", "z"]
+    moved = materialize(stats.transfers(df, "key", columns), "moved")
+    before, after = (stats.within_ss(t, columns).first() for t in (df, moved))
+    assert after.within_ss < before.within_ss and math.isclose(after.total_ss, before.total_ss)
+    frame = moved.toPandas()
+    x, own = frame[columns].to_numpy(), frame["cluster"].to_numpy()
+
+    def total(labels):
+        return sum(((x[labels == c] - x[labels == c].mean(axis=0)) ** 2).sum() for c in set(labels))
+
+    least = total(own)
+    assert math.isclose(least, after.within_ss)
+    for i in range(len(x)):
+        for c in set(own) - {own[i]}:
+            other = own.copy()
+            other[i] = c
+            assert total(other) >= least - 1e-6
+    assert stats.transfers(moved, "key", columns).exceptAll(moved).count() == 0
+
+
+def test_mixed_model_meets_its_normal_equations(spark):
+    """Dense generalized least squares at the returned variances gives the returned estimates; other ratios are less likely."""
+    rng = np.random.default_rng(9)
+    group = rng.integers(0, 12, 240)
+    shift = rng.normal(0, 1.5, 12)
+    x = rng.normal(size=240)
+    y = 2 + 0.7 * x + shift[group] + rng.normal(0, 0.8, 240)
+    df = spark.createDataFrame([(int(g), float(a), float(b)) for g, a, b in zip(group, x, y)], "g INT, x DOUBLE, y DOUBLE")
+    fit = stats.random_intercept(df, "y", {"x": F.col("x")}, "g")
+    design = np.stack([np.ones(240), x], axis=1)
+    z = (group[:, None] == np.arange(12)).astype(float)
+
+    def dense(ratio):
+        v = np.eye(240) + ratio * z @ z.T
+        w = np.linalg.inv(v)
+        a = design.T @ w @ design
+        beta = np.linalg.solve(a, design.T @ w @ y)
+        gap = y - design @ beta
+        s2 = gap @ w @ gap / 238
+        return beta, np.sqrt(np.diag(s2 * np.linalg.inv(a))), s2, 238 * np.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1]
+
+    ratio = fit["group_variance"] / fit["residual_variance"]
+    beta, error, s2, least = dense(ratio)
+    assert np.allclose(fit["estimate"], beta) and np.allclose(fit["std_error"], error) and math.isclose(fit["residual_variance"], s2, rel_tol=1e-6)
+    assert all(dense(ratio * f)[3] >= least - 1e-6 for f in (0.5, 0.8, 0.95, 1.05, 1.25, 2.0))
