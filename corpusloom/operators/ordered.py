@@ -14,8 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.grouped import attach, null_safe_join
+from corpusloom.session import materialize
 
 SIDE = 16
 BINS = SIDE * SIDE
@@ -56,10 +58,27 @@ def prefix_sum(
 
 
 def key_bucket(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Adds ``out``, the bucket of a numeric order key between its quantiles: any spacing of keys gives buckets of about equal size."""
+    """Adds ``out``, the bucket of a numeric order key between its quantiles: any spacing of keys gives buckets of about equal size.
+
+    The quantiles are found once, by a job that reads the key alone: every branch that uses the buckets has the same ones.
+    """
     points = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    cuts = df.agg(F.percentile_approx(key, points, F.lit(10000))).scalar()
-    return _fine_bucket(df.withColumn("__cuts", cuts), key, out)
+    kind = df.schema[key].dataType
+    cuts = df.agg(F.percentile_approx(key, points, F.lit(10000))).first()[0] or []
+    return _fine_bucket(df.withColumn("__cuts", F.array(*[F.lit(c).cast(kind) for c in cuts]).cast(T.ArrayType(kind))), key, out)
+
+
+def stored_items(docs: DataFrame, key: str, items: Column, size: Column, name: str) -> DataFrame:
+    """Documents stored once with ``__items`` (an array or what it takes to make one), ``__n`` of them, and ``__row`` to tell rows apart."""
+    kept = docs.withColumns({"__items": items, "__n": size, "__row": F.monotonically_increasing_id()})
+    return materialize(kept, name)
+
+
+def item_offsets(stored: DataFrame, key: str) -> DataFrame:
+    """(__row, __before): items of all documents before each one, in the order of the key. Only keys and counts are read and moved."""
+    narrow = key_bucket(stored.select("__row", key, "__n"), key, "__block")
+    running = prefix_sum(narrow, "__n", [key, "__row"], "__block", out="__run")
+    return running.select("__row", (F.col("__run") - F.col("__n")).alias("__before"))
 
 
 def global_row_number(df: DataFrame, key: str, order: Sequence[str | Column], out: str) -> DataFrame:

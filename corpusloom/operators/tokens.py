@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.grouped import attach
-from corpusloom.operators.ordered import global_row_number, key_bucket, prefix_sum
+from corpusloom.operators.ordered import item_offsets, key_bucket, prefix_sum, stored_items
 
 FORMAL_TAGS = ("NOUN", "ADJ", "ADP", "DET")
 CONTEXT_TAGS = ("PRON", "VERB", "AUX", "ADV")
@@ -44,6 +44,28 @@ def segments(lines: DataFrame, key: str, order: str, delimiter: str, text: str =
     return counted.withColumn(out, F.col(out) - 1).drop("__mark", "__block")
 
 
+def document_segments(docs: DataFrame, key: str, delimiter: str, text: str = "text") -> DataFrame:
+    """(other columns, line_no, segment) of every line: ``segments`` for whole documents.
+
+    The text is read once, where lines become marks; documents' totals of marks are summed up in order, and only marks are moved.
+    """
+    marks = F.transform(X.lines(text), lambda line: line.rlike(delimiter).cast("int"))
+    total = F.aggregate("__marks", F.lit(0), lambda a, m: a + m).cast("long")
+    stored = stored_items(docs.withColumn("__marks", marks).drop(text), key, F.col("__marks"), total, "line-marks").drop("__marks")
+    rows = stored.join(item_offsets(stored, key), "__row").select(*[c for c in docs.columns if c != text], "__row", "__before", F.posexplode("__items").alias("line_no", "__mark"))
+    so_far = F.sum("__mark").over(Window.partitionBy("__row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("segment", F.col("__before") + so_far - 1).drop("__row", "__before", "__mark")
+
+
+def line_ids(docs: DataFrame, key: str, text: str = "text", out: str = "id") -> DataFrame:
+    """(other columns, line_no, ``out``) of every line, numbered over the whole corpus. The text is read once, to count its lines."""
+    count = F.size(X.lines(text)).cast("long")
+    stored = stored_items(docs.withColumn("__count", count).drop(text), key, F.lit(None).cast("int"), F.col("__count"), "line-counts").drop("__count", "__items")
+    numbered = stored.join(item_offsets(stored, key), "__row")
+    exploded = numbered.select(*[c for c in docs.columns if c != text], "__before", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("line_no"))
+    return exploded.withColumn(out, F.col("__before") + F.col("line_no") + 1).drop("__before")
+
+
 def drop_edge_segments(df: DataFrame, segment: str = "segment") -> DataFrame:
     """Drop segment 0 and the last segment."""
     last = df.select(F.max(segment)).scalar()
@@ -71,11 +93,13 @@ def skip_lines(lines: DataFrame, keys: Sequence[str], order: str, count: int) ->
 
 def clean_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cleaned sentence table with corpus-wide ids, first sentence of each document removed."""
-    cleaned = docs.withColumn("text", X.remove_all("text", X.CLEAN_CHARS))
-    split = explode_sentences(cleaned)
-    numbered = global_row_number(split, key, [key, "sent_no"], "sentence_id")
+    cleaned = docs.withColumn("__all", X.sentences(X.remove_all("text", X.CLEAN_CHARS))).drop("text")
+    stored = stored_items(cleaned, key, F.col("__all"), F.size("__all").cast("long"), "sentences").drop("__all")
+    # Sentences stay with their document; only counts are put in order.
+    numbered = stored.join(item_offsets(stored, key), "__row").select(*[c for c in docs.columns if c != "text"], "__before", F.posexplode("__items").alias("sent_no", "sentence"))
     # The first sentence of a document has the smallest id, i.e. sent_no 0.
-    return numbered.filter(F.col("sent_no") != 0).drop("sent_no")
+    kept = numbered.filter(F.col("sent_no") != 0).withColumn("sentence_id", F.col("__before") + F.col("sent_no") + 1)
+    return kept.drop("sent_no", "__before")
 
 
 def drop_stop_chars(tokens: DataFrame, word: str = "word") -> DataFrame:

@@ -506,8 +506,7 @@ def col_sums_top(spark, folder):
     ),
 )
 def win_cumsum_segment(spark, folder):
-    lines = tokens.explode_lines(catalog.documents(spark, folder).select("doc_id", "text"))
-    return tokens.segments(lines, "doc_id", "line_no", HEADER).select("doc_id", "line_no", "segment")
+    return tokens.document_segments(catalog.documents(spark, folder).select("doc_id", "text"), "doc_id", HEADER)
 
 
 @query("win_row_number_skip", with_blocks("SELECT doc_id, line_no, text FROM lines WHERE line_no >= 6", "lines"))
@@ -521,8 +520,7 @@ def win_row_number_skip(spark, folder):
     with_blocks("SELECT doc_id, line_no, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM lines", "lines"),
 )
 def win_global_id(spark, folder):
-    lines = tokens.explode_lines(catalog.documents(spark, folder).select("doc_id", "text")).drop("text")
-    return ordered.global_row_number(lines, "doc_id", ["doc_id", "line_no"], "id")
+    return tokens.line_ids(catalog.documents(spark, folder).select("doc_id", "text"), "doc_id")
 
 
 @query(

@@ -45,6 +45,16 @@ def test_row_windows_are_never_in_one_partition(spark, key):
             assert "HashAggregate" in lines[i + 1] or "Project" in lines[i + 1] and "HashAggregate" in lines[i + 2]
 
 
+@pytest.mark.parametrize("key", ["win_cumsum_segment", "win_global_id", "corpus_sentences"])
+def test_order_moves_counts_not_text(spark, key):
+    """Texts are read once, to be stored as marks, counts or sentences; what is put in order is keys and counts."""
+    text = plan(spark, key)
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)", text)
+    assert schemas and all("text" not in s for s in schemas) and sum("__items" in s for s in schemas) <= 1
+    for window in re.findall(r"Window \[[^\n]*", text):
+        assert "sentence" not in window and "text" not in window
+
+
 def test_no_query_plans_a_cross_product(spark):
     for key in ("log_ratio", "tf_idf", "win_col_normalize", "stat_dist", "eval_auc", "doc_length", "stat_scale"):
         text = plan(spark, key)
