@@ -178,14 +178,14 @@ def test_every_repeat_is_labelled(repeats):
 # Vector search.
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_exact_top_k(spark, block):
+@pytest.mark.parametrize("block, part", [(700, 500), (1 << 20, 500), (5_000, 1 << 20), (1 << 20, 1 << 20)])
+def test_exact_top_k(spark, block, part):
     rng = np.random.default_rng(3)
-    vectors = rng.integers(-300, 300, size=(160, 10)).tolist() + [[1] * 10] * 20 + [[2**40] * 10, [5, 6], [7, 8], None, [1, None], [2**62] * 10]
+    vectors = rng.integers(-300, 300, size=(160, 10)).tolist() + [[1] * 10] * 20 + [[2**40] * 10, [5, 6], [7, 8], None, [1, None], [2**62] * 10, [], [-(2**62)] * 10, []]
     rows = [(i, v) for i, v in enumerate(vectors)] + [(3, vectors[3]), (None, vectors[4])]
     frame = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(5)
     got = {}
-    for r in vector_search.top_products(frame, frame.where("vec_id % 9 = 0 OR vec_id > 175"), block_rows=block).collect():
+    for r in vector_search.top_products(frame, frame.where("vec_id % 9 = 0 OR vec_id > 175"), block_bytes=block, query_bytes=part).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     real = [(i, v) for i, v in rows if v is not None and None not in v and i is not None]
     for q, v in {i: v for i, v in real if i % 9 == 0 or i > 175}.items():
@@ -193,6 +193,32 @@ def test_exact_top_k(spark, block):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(near)]
 
 
+def test_bounds_drop_most_pairs(spark):
+    """Counted on the given vectors, which are random: under half of the pairs get exact products, also with more blocks and their floor."""
+    rows = queries.read_table(spark, "/root/testdata/sf0.1", "embeddings")
+    found = vector_search.whole_numbers(rows.select("vec_id", "embedding"), "embedding").where("v IS NOT NULL").orderBy("vec_id").toPandas()
+    ids, vectors = found["vec_id"].to_numpy(), np.stack(found["v"].to_numpy())
+    asked = ids % 50 == 0
+    first = vector_search.Block(ids[::2], vectors[::2])
+    a, _, score = first.top(ids[asked], vectors[asked], 5)
+    second = vector_search.Block(ids[1::2], vectors[1::2])
+    second.top(ids[asked], vectors[asked], 5, np.array([score[a == q].min() for q in range(asked.sum())], dtype=float))
+    assert first.verified + second.verified < 0.5 * asked.sum() * len(ids)
+    assert second.verified < first.verified
+
+
+@pytest.mark.parametrize("dimensions", [1, 2, 3, 7, 64, 100])
+def test_no_bound_lies_below_the_product(dimensions):
+    rng = np.random.default_rng(dimensions)
+    q, x = (np.concatenate([rng.integers(-256, 256, size=(40, dimensions)), rng.integers(0, 2, size=(40, dimensions))]).astype(float) for _ in range(2))
+    bound = last = None
+    for level, (mine, own) in enumerate(zip(vector_search.resolutions(q, -1), vector_search.resolutions(x))):
+        bound = mine @ own.T + (bound if level >= len(vector_search.levels(dimensions)) else 0)
+        assert (bound >= q @ x.T - 1e-6).all()
+        assert level <= len(vector_search.levels(dimensions)) or (bound <= last + 1e-6).all()
+        last = bound
+
+
 def test_only_finite_vectors_take_part(spark):
     frame = spark.createDataFrame([(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, None)], "vec_id long, e array<float>")
     assert [r.v for r in vector_search.whole_numbers(frame, "e").orderBy("vec_id").collect()] == [[128, -1], None, None, None, None]
