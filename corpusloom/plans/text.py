@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import contrast, grouped, measures, sentiment, tokens
+from corpusloom.operators import contrast, grouped, measures, sentiment, sequence, tokens
 from corpusloom.plans.registry import (
     CONTEXT, FORMAL, PIECE, READABILITY, SENTENCE, SILENT, STOPPED, TAGGER, VOWELS, WORD, block, query, tag_sql, text_literal, with_blocks,
 )
@@ -176,6 +176,19 @@ def pos_tag(spark, folder):
     return tokens.pos_table(lines, ["doc_id", "line_no"], tagger(spark))
 
 
+def sequence_tagger(spark: SparkSession, lines: DataFrame) -> sequence.SequenceTagger:
+    """Words and endings from the tagged list, transitions from all sentences of the corpus as the look-up tags them."""
+    first = tokens.pos_table(lines, ["doc_id", "line_no"], tagger(spark))
+    return sequence.train(lexicon(spark, "tagged_tokens"), first, ["doc_id", "line_no", "sentence_id"], "token_no", materialize)
+
+
+@query("pos_tag_sequence")
+def pos_tag_sequence(spark, folder):
+    """Tags by the best path of each sentence, so that words of several tags are told apart by their neighbours."""
+    lines = tokens.explode_lines(catalog.documents(spark, folder).select("doc_id", "text"))
+    return sequence.sequence_table(lines, ["doc_id", "line_no"], sequence_tagger(spark, lines))
+
+
 @query(
     "corpus_documents",
     with_blocks(
