@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -296,6 +297,61 @@ def topic_tree(correlation: DataFrame, cuts: Sequence[float]) -> DataFrame:
     return levels.groupBy("cut").applyInPandas(components, "cut DOUBLE, topic INT, node INT")
 
 
+def chain_merges(distance: np.ndarray, linkage: str = "average") -> list[tuple[int, int, float]]:
+    """The K - 1 merges (low, high, height) of a symmetric distance matrix, lowest first; a cluster is named by its smallest member.
+
+    A chain of nearest neighbours is followed until two clusters are nearest to each other; these are merged, and the distances of
+    the new cluster follow from those of its parts. Such merges are those of the full search for all three linkages, in another order.
+    """
+    d = np.array(distance, dtype=float)
+    np.fill_diagonal(d, np.inf)
+    size, formed, open_, chain, found = np.ones(len(d)), np.full(len(d), -np.inf), np.ones(len(d), dtype=bool), [], []
+    while open_.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(open_)[0]))
+        here = chain[-1]
+        near = int(d[here].argmin())
+        if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:
+            near = chain[-2]
+        if len(chain) < 2 or near != chain[-2]:
+            chain.append(near)
+            continue
+        del chain[-2:]
+        a, b = min(here, near), max(here, near)
+        # Rounding must not put a merge below those of its parts.
+        formed[a] = max(d[a, b], formed[a], formed[b])
+        found.append((a, b, float(formed[a])))
+        joined = {
+            "single": np.minimum(d[a], d[b]), "complete": np.maximum(d[a], d[b]), "average": (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b]),
+        }[linkage]
+        d[a], d[:, a], d[b], d[:, b] = joined, joined, np.inf, np.inf
+        d[a, a], size[a], open_[b] = np.inf, size[a] + size[b], False
+    return sorted(found, key=lambda m: m[2])
+
+
+def topic_merges(correlation: DataFrame, topics: int, linkage: str = "average") -> DataFrame:
+    """(merge, height, low, high, topic): the agglomerative tree of topics at distance 1 - r, one row for each topic of a merge.
+
+    ``low`` and ``high`` name the two merged nodes by their smallest topics; merges count from 1, lowest first. The input has
+    K (K - 1) / 2 rows for K topics, as ``topic_correlations`` gives them; a null correlation (a constant topic) counts as 0.
+    """
+    distance = np.ones((topics, topics))
+    for r in correlation.collect():
+        distance[r.a - 1, r.b - 1] = distance[r.b - 1, r.a - 1] = 1.0 if r.r is None or np.isnan(r.r) else 1 - r.r
+    members, rows = {t: [t] for t in range(topics)}, []
+    for merge, (low, high, height) in enumerate(chain_merges(distance, linkage), 1):
+        members[low] = sorted(members[low] + members.pop(high))
+        rows += [(merge, height, low + 1, high + 1, t + 1) for t in members[low]]
+    return correlation.sparkSession.createDataFrame(rows, "merge INT, height DOUBLE, low INT, high INT, topic INT")
+
+
+def merge_nodes(merges: DataFrame, beta: DataFrame, gamma: DataFrame, n: int = 7) -> DataFrame:
+    """(merge, height, low, high, n_topics, proportion, terms): the merges with the share and the words of each new node."""
+    labelled = tree_nodes(merges.select(F.col("merge").cast("double").alias("cut"), "topic", F.col("low").alias("node")), beta, gamma, n)
+    named = labelled.select(F.col("cut").cast("int").alias("merge"), "n_topics", "proportion", "terms")
+    return merges.select("merge", "height", "low", "high").distinct().join(named, "merge").select("merge", "height", "low", "high", "n_topics", "proportion", "terms")
+
+
 def tree_nodes(nodes: DataFrame, beta: DataFrame, gamma: DataFrame, n: int = 7) -> DataFrame:
     """Per tree node its topics, corpus share and n likeliest words over its topics.
 

@@ -293,6 +293,15 @@ def topic_tree(spark, folder):
     return topics.tree_nodes(nodes, model.beta(), gamma)
 
 
+@query("topic_tree_merges")
+def topic_tree_merges(spark, folder):
+    """Average-link tree of the source topics with merge heights, shares and words of every node."""
+    model = OneStep(spark, folder, N_SOURCES, by_source=True)
+    shares = materialize(model.shares, "shares")
+    merges = topics.topic_merges(topics.topic_correlations(shares, N_SOURCES), N_SOURCES)
+    return topics.merge_nodes(merges, model.beta(), topics.tidy(shares, "doc_id", "g", N_SOURCES, "gamma"))
+
+
 # --- diagnostics on the one-step models ----------------------------------------------
 
 
