@@ -27,6 +27,8 @@ SHORT = 60
 #: Groups of equal slices up to this size are compared pair by pair. Larger ones are first compared with their ends; what that does
 #: not connect is compared in tiles, cut from blocks of about so many members and shingles.
 SMALL_GROUP, TILE_ROWS, TILE_SHINGLES = 32, 2_000, 1 << 20
+#: Shares that the members of a block are dealt in where they are only told apart by class.
+DEALS = 16
 
 
 def text_slices(hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -175,10 +177,14 @@ def _links_left(big: DataFrame, linked: DataFrame, sets: DataFrame, similarity:
     Groups are cut into blocks of bounded size; each pair of blocks is a tile of its own, and only tiles of several classes are compared.
     """
     label = F.coalesce("component", "node").alias("label")
-    named = big.join(linked, "node", "left").select("key", "node", "blocks", label)
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    # A group of one block still has up to TILE_ROWS members, so it is dealt by some of them at a time.
+    deals = F.col("blocks") * DEALS
+    named = big.join(linked, "node", "left").select("key", "node", "blocks", label, F.pmod(F.xxhash64(F.lit("deal"), "node"), deals).cast("int").alias("deal"))
+    by_deal = named.groupBy("key", "deal").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.first("blocks").alias("blocks"))
+    mixed = by_deal.groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("blocks").alias("blocks")).where("a < b")
+    mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    split = named.join(mixed, "key", "left_semi").select("key", "node", "label", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = named.join(mixed, ["key", "deal"], "left_semi").select("key", "node", "label", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiled = materialize(split.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "label"), "tiles")
     several = materialize(tiled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tile"), "mixed-tiles")
     if several.isEmpty():
