@@ -193,6 +193,20 @@ def test_exact_top_k(spark, block, part):
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(near)]
 
 
+def test_top_k_of_awkward_tables(spark):
+    """Columns that clash with the operator's own, rows that all have one id, and tables without rows."""
+    rows = spark.range(40).selectExpr("id AS vec_id", "array(id, 1L, 40 - id) AS v")
+    crowded = rows.selectExpr("*", *(f"'own' AS {c}" for c in ("id", "block", "part", "tile", "query", "floor", "home", "query_id", "score", "rank")))
+    plain = sorted(map(tuple, vector_search.top_products(rows, rows.where("vec_id < 3"), block_bytes=300).collect()))
+    assert len(plain) == 15 and plain == sorted(map(tuple, vector_search.top_products(crowded, crowded.where("vec_id < 3"), block_bytes=300).collect()))
+    same = rows.selectExpr("7L AS vec_id", "v")
+    assert vector_search.top_products(same, same).isEmpty()
+    found = vector_search.top_products(same, rows.where("vec_id = 2"), block_bytes=300).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(k + 1, 7, s) for k, s in enumerate(sorted((2 * i + 1 + 38 * (40 - i) for i in range(40)), reverse=True)[:5])]
+    for a, b in ((rows.limit(0), rows), (rows, rows.limit(0)), (rows.limit(0), rows.limit(0))):
+        assert vector_search.top_products(a, b).isEmpty()
+
+
 def test_bounds_drop_most_pairs(spark):
     """Counted on the given vectors, which are random: under half of the pairs get exact products, also with more blocks and their floor."""
     rows = queries.read_table(spark, "/root/testdata/sf0.1", "embeddings")
