@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars
@@ -178,3 +179,31 @@ def test_forms_of_a_lemma_are_one_term(spark):
     stop = spark.createDataFrame([("head",)], "word STRING")
     got = {(r.doc_id, r.word): r.n for r in tokens.lemma_counts(counts, model, stop, (), tokens.NOUN_TAGS, more_than=3).collect()}
     assert got == {(1, "station"): 3, (2, "station"): 1, (2, "office"): 2, (1, "office"): 2}
+
+
+@pytest.mark.parametrize("limit", [0, 60 * 80, 1 << 20])
+def test_join_hot_is_the_plain_join(spark, limit, tmp_path):
+    """None, some or all of the keys are sent; rows are those of the plain join, rows without a partner stay out."""
+    rows = [(d, f"w{w}") for d in range(40) for w in range(d % 7, 100, 1 + d % 5)] + [(99, None)]
+    spark.createDataFrame(rows, "doc_id BIGINT, word STRING").write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    table = spark.createDataFrame([(f"w{w}", 1000 // (w + 1)) for w in range(90)] + [("other", None)], "word STRING, total BIGINT")
+    got = sorted(map(tuple, grouped.join_hot(cells, table, "word", "total", limit).select("doc_id", "word", "total").collect()))
+    assert got == sorted(map(tuple, cells.join(table, "word").select("doc_id", "word", "total").collect()))
+
+
+def test_lemmas_of_dealt_texts_are_counted_without_a_shuffle(spark):
+    """Counts dealt by document stay where they are: words are looked up in small tables, rows of words are not moved."""
+    import corpusloom.operators.tokens as own
+    from corpusloom.plans.text import tagger
+
+    stored, keep = [], own.materialize
+    own.materialize = lambda df, name: stored.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name)
+    try:
+        docs = spark.createDataFrame([(1, "the nation nation"), (1, "nation"), (2, "station nation")], "doc_id BIGINT, text STRING").repartition(4, "doc_id")
+        counts = own.term_counts(own.explode_words(docs), ["doc_id"])
+        got = own.lemma_counts(counts, tagger(spark), lexicon(spark, "stop_words"), (), own.NOUN_TAGS, more_than=3)
+    finally:
+        own.materialize = keep
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "nation", 3), (2, "nation", 1)]
+    assert "SortMergeJoin" not in stored[0] and stored[0].count("Exchange hashpartitioning(doc_id") == 1
