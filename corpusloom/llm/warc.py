@@ -15,13 +15,15 @@ FILE_RECORDS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: What ``conv`` writes for the same 32 values.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five bits a letter, from the 40 hexadecimal digits."""
+    """Upper-case base32 of the SHA-1: 40 bits at a time from the hexadecimal digits to digits of base 32, then to the letters of the alphabet."""
     digest = F.sha1(payload)
-    twenty_bits = [F.conv(F.substring(digest, 1 + 5 * k, 5), 16, 10).cast("int") for k in range(8)]
-    return F.concat(*(F.substring(F.lit(ALPHABET), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1)) for v in twenty_bits for s in (15, 10, 5, 0)))
+    forty_bits = [F.lpad(F.conv(F.substring(digest, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*forty_bits), DIGITS, ALPHABET)
 
 
 def _urn(*parts: Column) -> Column:
@@ -68,18 +70,18 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
     refers = F.when(F.col("revisit"), F.concat(F.lit(f"\r\nWARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _urn(F.lit("capture"), F.col("keeper"), F.col("digest")))).otherwise(F.lit(""))
     shared = known.withColumn("revisit", revisit).withColumn("own", own)
     beside = F.concat(F.lit("\r\nWARC-Concurrent-To: "), F.col("own"))
-    records = shared.select(F.explode(F.array(
+    records = shared.select(F.array(
         _record(F.lit("request"), _urn(F.lit("request"), F.col("own")), F.col("url"), beside, "application/http; msgtype=request", asked),
         _record(F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response")), F.col("own"), F.col("url"),
                 F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), refers), "application/http; msgtype=response", F.concat(http, body)),
         _record(F.lit("metadata"), _urn(F.lit("metadata"), F.col("own")), F.col("url"), beside, "application/warc-fields", facts),
-    )).alias("value"))
+    ).alias("three")).select(F.explode("three").alias("value"))
     records.select(F.concat(F.lit(VERSION), "value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _field(name: str, header: str = "header") -> Column:
     value = F.regexp_extract(header, f"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
-    return F.when(value != "", value)
+    return F.get(F.array_remove(F.array(value), ""), 0)  # null for an empty one; the header is searched once
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +121,7 @@ def captures(records: DataFrame, payload: bool = True) -> DataFrame:
     response = F.struct(
         "http", *([F.when(fresh, F.col("payload")).alias("payload")] if payload else []),
         F.when(fresh, F.octet_length("payload")).otherwise(_field("Content-Length", "http").cast("int")).cast("long").alias("payload_bytes"),
-        F.when(fresh, base32_sha1(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"))
+        F.coalesce(base32_sha1(F.when(fresh, F.col("payload"))), "digest").alias("payload_digest"))  # not in a branch, where every use would hash anew
     head = answers.select("record_id", "url", "type", "refers_to", "concurrent_to", response.alias("response"))
     other = F.struct("record_id", "content_type", F.col("block").cast("string").alias("block"))
     beside = records.where(F.col("type").isin("request", "metadata")).select(

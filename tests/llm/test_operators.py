@@ -463,3 +463,15 @@ def test_pipeline_against_plain_steps(spark):
     assert all(got[i] == library.encode(t) for i, t in clean.items())
     for i in got.keys() - clean.keys():
         assert brute.overlaps(library.decode(got[i]), items)[1] == 0
+
+
+def test_digest_is_hashed_once(spark, tmp_path):
+    """Each of the 32 letters used to be an expression of its own over the payload's hash, and a branch computes each of them anew."""
+    texts = ["", "a", "é\n", "x" * 5000, *(f"page {i}" for i in range(300))]  # some digests begin a part with zeros
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = [r[0] for r in pages.orderBy("page_id").select(warc.base32_sha1(F.col("html"))).collect()]
+    assert got == [base64.b32encode(hashlib.sha1(t.encode()).digest()).decode() for t in texts]
+    assert str(warc.base32_sha1(F.col("html"))).count("sha1(") <= 4
+    warc.write(pages, f"{tmp_path}/w")
+    plan = warc.captures(warc.read(spark, f"{tmp_path}/w"))._jdf.queryExecution().analyzed().toString()
+    assert not [branch for branch in plan.split("CASE WHEN")[1:] if "THEN" in branch and "sha1(" in branch.split(" END")[0]]
