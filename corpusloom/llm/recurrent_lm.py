@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,12 @@ def split(texts: list[bytes]) -> Words:
     raw = np.frombuffer(data, dtype=np.uint8)
     start, end = X.spans(raw, _INSIDE)
     owner = np.searchsorted(begin, start, side="right") - 1
-    hashes, first, token, count = np.unique(X.hash_spans(data, start, end - start), return_index=True, return_inverse=True, return_counts=True)
+    code, found = pd.factorize(X.hash_spans(data, start, end - start))  # in order of first places; only distinct words are sorted
+    order = np.argsort(found)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    hashes, token = found[order], place[code]
+    first, count = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))[order], np.bincount(token, minlength=len(order))
     start, end = start[first], end[first]
     return Words(data, start, end, hashes, rare_class(raw, start, end), count, token, owner)
 

@@ -326,3 +326,11 @@ def test_labels_that_no_word_tells_reject_nothing(spark):
     docs = spark.createDataFrame([(i, f"the same words {i % 3}") for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
     assert toxicity.grade(docs, toxicity.train(docs, labels)).where("toxic").count() == 0
+
+
+def test_words_are_numbered_by_hash_without_sorting_all(monkeypatch):
+    monkeypatch.setattr(np, "unique", None)  # sorted every token of a shard
+    w = recurrent_lm.split([b"b a b", b"", b"c a", b"  "])
+    assert [w.spelled(np.arange(3))[i] for i in w.token] == [b"b", b"a", b"b", b"c", b"a"] and (np.diff(w.hashes.astype(object)) > 0).all()
+    assert sorted(zip(w.spelled(np.arange(3)), w.count.tolist())) == [(b"a", 2), (b"b", 2), (b"c", 1)]
+    assert recurrent_lm.split([b"", b" "]).count.tolist() == []
