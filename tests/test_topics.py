@@ -53,6 +53,25 @@ def test_document_solution_is_a_maximum():
     assert np.allclose(phi.sum(axis=1), counts)
 
 
+def test_documents_are_solved_by_themselves_and_rest_when_they_are_done(monkeypatch):
+    rng = np.random.default_rng(1)
+    k, sizes = 10, rng.integers(1, 120, 300)
+    counts = rng.integers(1, 6, sizes.sum()).astype(float)
+    beta = rng.dirichlet(np.full(k, 0.2), sizes.sum()) + 1e-6
+    starts, mu, precision = np.concatenate([[0], np.cumsum(sizes)[:-1]]), rng.normal(size=(300, k - 1)), np.eye(k - 1)
+    logged, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda x, *a, **b: (logged.append(np.size(x)), log(x, *a, **b))[1])
+    together = tm.solve_documents(counts, beta, starts, mu, precision, steps=40)
+    monkeypatch.undo()
+    # A step looks at a document's cells once, and again only where it went too far.
+    assert sum(logged) < 70 * sizes.sum()
+    for d in (0, 7, 299):
+        cells = slice(starts[d], starts[d] + sizes[d])
+        alone = tm.solve_documents(counts[cells], beta[cells], np.array([0]), mu[d : d + 1], precision, steps=40)
+        for a, b in zip(together, alone):
+            assert np.allclose(a[cells] if len(a) == len(counts) else a[d : d + 1], b, atol=1e-8)
+
+
 def test_fit_recovers_blocks_and_bound_rises(spark, corpus):
     model = tm.fit_topics(corpus, 3, max_iter=8, seed=3)
     # Rises until the last step, which may be the fall that ends the fit.
