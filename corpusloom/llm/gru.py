@@ -39,19 +39,28 @@ class Layout:
         }.items()}
 
 
-def _shares(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each column, and the logarithm of its divisor. Reductions run down the rows, whole vectors at a time."""
+def _shares(scores: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each column, written over ``scores``, and the logarithm of its divisor. Reductions run down the rows, whole vectors at a time.
+
+    If not ``whole``, only the divisor is of use.
+    """
     most = scores.max(axis=0)
-    part = np.subtract(scores, most)
-    np.exp(part, out=part)
-    total = part.sum(axis=0)
-    part /= total
-    return part, np.log(total) + most
+    scores -= most
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=0)
+    if whole:
+        scores /= total
+    return scores, np.log(total) + most
 
 
 def _entry(w: Weights) -> np.ndarray:
-    """What each id gives to the gates."""
-    return w["input"] @ w["gate"] + w["gate_bias"]
+    """What each id gives to the gates, gate by gate."""
+    return _by_gate(w["input"] @ w["gate"] + w["gate_bias"])
+
+
+def _by_gate(weights: np.ndarray) -> np.ndarray:
+    """Columns of the three gates one after another, so that what is done to one runs over whole vectors."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, -1).transpose(1, 0, 2))
 
 
 def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray, learn: bool):
@@ -61,34 +70,36 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
     states = np.empty((steps + 1, lanes, h), dtype=w["state"].dtype)
     states[0] = state
     kept = steps if learn else 1  # what only the way back reads is written over when there is none
-    gates, news, pulls = (np.empty((kept, lanes, k), dtype=states.dtype) for k in (2 * h, h, h))
-    given, a = (np.empty((lanes, 3 * h), dtype=states.dtype) for _ in range(2))
+    gates, (news, pulls) = np.empty((2, kept, lanes, h), dtype=states.dtype), (np.empty((kept, lanes, h), dtype=states.dtype) for _ in range(2))
+    given, a = (np.empty((3, lanes, h), dtype=states.dtype) for _ in range(2))
+    across = _by_gate(w["state"])
     for t in range(steps):
         at = t if learn else 0
-        np.take(entry, x[t], axis=0, out=given)
-        np.matmul(states[t], w["state"], out=a)
-        g = np.add(given[:, : 2 * h], a[:, : 2 * h], out=gates[at])
+        np.take(entry, x[t], axis=1, out=given, mode="clip")  # ids are known to lie inside; without the check no copy is made
+        np.matmul(states[t], across, out=a)
+        g = np.add(given[:2], a[:2], out=gates[:, at])
         np.negative(g, out=g)
         np.exp(g, out=g)
         g += 1
         np.reciprocal(g, out=g)
         if learn:
-            pulls[t] = a[:, 2 * h :]
-        new = np.multiply(g[:, h:], a[:, 2 * h :], out=news[at])
-        new += given[:, 2 * h :]
+            pulls[t] = a[2]
+        new = np.multiply(g[1], a[2], out=news[at])
+        new += given[2]
         np.tanh(new, out=new)
         next_ = np.subtract(states[t], new, out=states[t + 1])
-        next_ *= g[:, :h]
+        next_ *= g[0]
         next_ += new
     full = bool(live.all())
     flat, target = (states[1:].reshape(-1, h), y.ravel()) if full else (states[1:][live], y[live])
     kind, at = lay.class_of[target], np.arange(len(target))
     scores = w["class"].T @ flat.T
     scores += w["class_bias"][:, None]
-    share, divisor = _shares(scores)
-    logs = scores[kind, at] - divisor
+    own = scores[kind, at]
+    share, divisor = _shares(scores, learn)
+    logs = own - divisor
     order = np.flatnonzero(target < lay.words)
-    order = order[np.argsort(kind[order], kind="stable")]
+    order = order[np.argsort(kind[order].astype(np.uint16), kind="stable")]  # small numbers sort fast
     cuts = np.searchsorted(kind[order], np.arange(len(lay.starts)))
     grad, back = None, None
     if learn:
@@ -106,9 +117,10 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
         f, t, word = flats[rows], targets[rows] - low, w["word"][low:high]
         near = word @ f.T
         near += w["word_bias"][low:high, None]
-        part, divisor = _shares(near)
         here = np.arange(len(t))
-        more[rows] = near[t, here] - divisor
+        own = near[t, here]
+        part, divisor = _shares(near, learn)
+        more[rows] = own - divisor
         if learn:
             part[t, here] -= 1
             np.matmul(part.T, word, out=backs[rows])
@@ -125,7 +137,7 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
     if not full:
         deltas[live] = back
     # What does not depend on later steps, for all steps at once: how far each gate passes a change of the state on.
-    z, r = gates[:, :, :h], gates[:, :, h:]
+    z, r = gates
     keep = 1 - z
     to_new = 1 - news * news
     to_new *= keep
@@ -137,21 +149,19 @@ def _window(lay: Layout, w: Weights, state: np.ndarray, x: np.ndarray, y: np.nda
     to_r *= pulls
     by_z, by_r, by_new = (np.empty((steps, lanes, h), dtype=states.dtype) for _ in range(3))
     later, step, pulled = (np.zeros((lanes, h), dtype=states.dtype) for _ in range(3))
-    across_z, across_r, across_new = (np.ascontiguousarray(w["state"][:, k * h : (k + 1) * h].T) for k in range(3))
-    pull = np.ascontiguousarray(r)
-    hold = np.ascontiguousarray(z)
+    across_z, across_r, across_new = (np.ascontiguousarray(k.T) for k in across)
     for t in range(steps - 1, -1, -1):
         later += deltas[t]
         np.multiply(later, to_z[t], out=by_z[t])
         new = np.multiply(later, to_new[t], out=by_new[t])
         np.multiply(new, to_r[t], out=by_r[t])
-        np.multiply(new, pull[t], out=pulled)
-        later *= hold[t]
-        for d, across in ((by_z[t], across_z), (by_r[t], across_r), (pulled, across_new)):
-            later += np.matmul(d, across, out=step)
+        np.multiply(new, r[t], out=pulled)
+        later *= z[t]
+        for d, back_to in ((by_z[t], across_z), (by_r[t], across_r), (pulled, across_new)):
+            later += np.matmul(d, back_to, out=step)
     before = states[:-1].reshape(-1, h).T
     flat_z, flat_r, flat_new = (d.reshape(-1, h) for d in (by_z, by_r, by_new))
-    grad["state"] = np.concatenate([before @ flat_z, before @ flat_r, before @ (flat_new * pull.reshape(-1, h))], axis=1)
+    grad["state"] = np.concatenate([before @ flat_z, before @ flat_r, before @ (flat_new * r.reshape(-1, h))], axis=1)
     into = np.concatenate([flat_z, flat_r, flat_new], axis=1)
     seen = x.ravel().astype(np.uint16)  # small numbers sort fast
     order = np.argsort(seen, kind="stable")

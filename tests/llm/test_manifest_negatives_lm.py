@@ -334,3 +334,28 @@ def test_words_are_numbered_by_hash_without_sorting_all(monkeypatch):
     assert [w.spelled(np.arange(3))[i] for i in w.token] == [b"b", b"a", b"b", b"c", b"a"] and (np.diff(w.hashes.astype(object)) > 0).all()
     assert sorted(zip(w.spelled(np.arange(3)), w.count.tolist())) == [(b"a", 2), (b"b", 2), (b"c", 1)]
     assert recurrent_lm.split([b"", b" "]).count.tolist() == []
+
+
+def test_scores_of_a_text_follow_the_gates_step_by_step():
+    rng, h = np.random.default_rng(4), 5
+    lay = gru.Layout(np.array([0, 1, 4, 9]), 2, h)
+    w = {k: rng.normal(0, 0.4, v.shape) for k, v in lay.begin(np.ones(lay.words + 2)).items()}
+    text, state, before, total = np.array([3, 8, 9, 1, 10, 4, 0]), np.zeros(h), 0, 0.0
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    for y in text:
+        given, own = w["input"][before] @ w["gate"] + w["gate_bias"], state @ w["state"]
+        z, r = squash(given[:h] + own[:h]), squash(given[h : 2 * h] + own[h : 2 * h])
+        state = z * state + (1 - z) * np.tanh(given[2 * h :] + r * own[2 * h :])
+        kinds, c = state @ w["class"] + w["class_bias"], lay.class_of[y]
+        total += kinds[c] - np.log(np.exp(kinds).sum())
+        if y < lay.words:
+            words = slice(lay.starts[c], lay.starts[c + 1])
+            near = w["word"][words] @ state + w["word_bias"][words]
+            total += near[y - lay.starts[c]] - np.log(np.exp(near).sum())
+        before = y
+    assert np.allclose(gru.run(lay, w, [text]), total, atol=1e-5)
+    # A gate's numbers lie side by side, and scoring alone leaves out the shares.
+    assert gru._entry(w).shape == (3, lay.words + 2, h)
+    scores = rng.normal(size=(4, 6))
+    part, divisor = gru._shares(scores.copy(), False)
+    assert np.allclose(divisor, np.log(np.exp(scores).sum(axis=0))) and not np.allclose(part.sum(axis=0), 1)
