@@ -114,3 +114,28 @@ def test_word_vectors_keep_whole_vocabulary(spark):
     assert words == ["b", "a", "d"]
     rows = {r.doc_id: r.words_vec.toArray().tolist() for r in classify.word_vectors(docs, words).collect()}
     assert rows == {0: [1.0, 2.0, 0.0], 1: [2.0, 0.0, 1.0]}
+
+
+def test_only_grouped_documents_are_measured(spark, tmp_path, monkeypatch):
+    """Style and positivity were measured in all documents; topic weights still come from all of them."""
+    from corpusloom.plans import classify as plans
+    from corpusloom.plans import topics
+    from corpusloom.sources import catalog
+
+    words = ["nation", "freedom", "great", "loss", "station", "terrible"]
+    docs = [(d, " ".join(words[(d * i) % 6] for i in range(1, 9)) + ".", ["de", "en", "es", "fr", None][d % 5], f"src_{d % 3}", 1) for d in range(24)]
+    docs += [(4, "a nation again", "en", "src_1", 1), (None, "no key", "en", "src_1", 1), (25, None, "en", "src_1", 1)]
+    spark.createDataFrame(docs, catalog.SCHEMAS["documents"]).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(d, d % 2, 0) for d in (0, 4, 4, 7, 25, 99)] + [(None, 1, 0)]
+    spark.createDataFrame(labels, catalog.SCHEMAS["labels"]).write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    for module, name in ((plans, "style"), (plans.sentiment, "positivity")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _f=real, **k: seen.append([x for x in (*a, *k.values()) if "text" in getattr(x, "columns", ())]) or _f(*a, **k))
+    table = plans.classification_table(spark, str(tmp_path))
+    # Copies of a key stay, keys without a group and null keys do not.
+    assert sorted(r.doc_id for r in table.collect()) == [0, 4, 4, 4, 4, 7, 25]
+    assert [sorted(r.doc_id for r in frames[0].select("doc_id").collect()) for frames in seen] == [[0, 4, 4, 7, 25]] * 2
+    whole = {r.doc_id: tuple(r)[1:] for r in topics.OneStep(spark, str(tmp_path), 4).shares.collect()}
+    part = {r.doc_id: tuple(r)[1:] for r in topics.OneStep(spark, str(tmp_path), 4, only=plans.grouped_documents(spark, str(tmp_path))).shares.collect()}
+    assert set(part) == {0, 4, 7} & set(whole) and part and all(np.allclose(part[d], whole[d], rtol=1e-12) for d in part)

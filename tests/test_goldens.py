@@ -207,3 +207,29 @@ def test_lemmas_of_dealt_texts_are_counted_without_a_shuffle(spark):
         own.materialize = keep
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "nation", 3), (2, "nation", 1)]
     assert "SortMergeJoin" not in stored[0] and stored[0].count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_syllables_of_a_whole_text_are_those_of_its_words(spark):
+    """Words were measured one by one, each by two patterns twice; sums now come from the words side by side."""
+    texts = [None, "", ". !", "e", "the be e a i", "axexe axexexe axexei axexie tree", "l'eau d'été être aujourd'hui", "xyz brr t'e 12.e 3.5", "e'e'e e.e.e.e a_e_ee_e", "Été 𝒜e𝒜e𝒜e"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text STRING").withColumn("w", X.words("text"))
+    sums = X.syllable_sums(F.col("w"))
+    each = F.transform("w", lambda word: X.syllables(word).cast("long"))
+    got = rows.select("text", sums[0].alias("s"), sums[1].alias("x"), each.alias("each")).collect()
+    want = [(None, None) if r.each is None else (sum(r.each), sum(n >= 3 for n in r.each)) for r in got]
+    assert [(r.s, r.x) for r in got] == want and (12, 3) in want
+
+
+def test_tag_before_ending_and_longer_ending_before_shorter(spark):
+    tagged = [("running", "run", "VERB"), ("nation", "nation", "NOUN"), ("quickly", "quick", "ADV"), ("happily", "happy", "ADV")]
+    model = tokens.train_tagger(spark.createDataFrame(tagged, "token STRING, lemma STRING, upos STRING"))
+    asked = ["Running", "walking", "station", "oddly", "Oddly", "fly", "on", "zzz", "7th", "ing", "?", "", "été", "_g", None]
+    frame = tokens.tag_tokens(spark.createDataFrame([(t,) for t in asked], "token STRING"), model)
+    got = {r.token: (r.lemma, r.upos) for r in frame.collect()}
+    assert got == {
+        "Running": ("run", "VERB"), "walking": ("walking", "VERB"), "station": ("station", "NOUN"), "oddly": ("oddly", "ADV"), "Oddly": ("oddly", "ADV"),
+        "fly": ("fly", "ADV"), "on": ("on", "NOUN"), "zzz": ("zzz", "NOUN"), "7th": ("7th", "NUM"), "ing": ("ing", "VERB"), "?": ("?", "PUNCT"),
+        "": ("", "PUNCT"), "été": ("été", "NOUN"), "_g": ("_g", "VERB"), None: (None, "NOUN"),
+    }
+    # What has its tag looks up no ending.
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("THEN substring(lower(token") == 3
